@@ -20,6 +20,9 @@ HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
 SMALL_GROUP = 48
 TILE = 512
 
+#: Bits of the filter that picks the texts to fetch.
+FILTER_BITS = 1 << 24
+
 _MULTIPLIERS = (splitmix(101, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADDENDS = (splitmix(202, HASHES) >> np.uint64(32)).astype(np.uint32)
 
@@ -301,7 +304,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, set) of the wanted classes, from one document of each."""
     rows = docs.select(F.col("doc_id").alias("__id"), "text", text_hash("text").alias("__hash"))
-    rows = rows.join(wanted, rows["__id"].eqNullSafe(wanted["doc_id"]) & (rows["__hash"] == wanted["text_hash"])).select("node", "text")
+    rows = rows.where(_may_be_among(wanted, "text_hash")("__hash"))
+    # shuffled at every size: what is wanted grows with the documents
+    rows = rows.hint("merge").join(wanted, rows["__id"].eqNullSafe(wanted["doc_id"]) & (rows["__hash"] == wanted["text_hash"])).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
@@ -310,6 +315,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
+def _may_be_among(rows: DataFrame, column: str):
+    """A filter that passes all values of ``rows``' column and few others, so that few texts are shuffled.
+
+    One bit for each value of FILTER_BITS, so it never takes over 2 MB on the driver
+    or a worker; with very many values it passes everything, and the join decides.
+    """
+    spot = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = rows.groupBy(F.floor(spot / 64).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("bits"))
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    for batch in words.toArrow().to_batches():
+        table[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    known = rows.sparkSession.sparkContext.broadcast(table)
+
+    @pandas_udf("boolean")
+    def keep(values: pd.Series) -> pd.Series:
+        at = values.to_numpy(dtype=np.int64) % FILTER_BITS
+        return pd.Series((known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return keep
+
+
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate component, its own columns unchanged."""
     kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import foldwise
-from foldwise.llm import decontaminate, mixing, neardup, quality, sharding
+from foldwise.llm import decontaminate, licenses, mixing, neardup, quality, sharding, substring
 from foldwise.llm.base import table
 
 
@@ -15,6 +15,12 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    foldwise.ship(spark)
+    found = substring.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_chunks", "n_repeated", "repeat_bytes", "dup_bytes", "kept_bytes", (F.col("repeat_bytes") > 0).alias("repeats"), "first_ids", "spans")
+
+
 def op3_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,6 +41,11 @@ def op8_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -115,7 +126,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pareto_mixing, op3_crf_quality, op5_hypergeometric_sharding, op8_aho_corasick, op10_bayes_minhash)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_gear_chunks, op3_crf_quality, op5_hypergeometric_sharding, op8_aho_corasick, op9_diagonal_voting, op10_bayes_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
