@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import foldwise
-from foldwise.llm import decontaminate, licenses, mixing, neardup, quality, sharding, substring
+from foldwise.llm import decontaminate, licenses, lm, media, mixing, neardup, quality, sharding, substring
 from foldwise.llm.base import table
 
 
@@ -27,6 +27,12 @@ def op3_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    foldwise.ship(spark)
+    stored = media.to_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.decoded(stored, tensors=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op5_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
     text = F.coalesce("text", F.lit(""))
@@ -34,6 +40,11 @@ def op5_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    foldwise.ship(spark)
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -126,7 +137,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_gear_chunks, op3_crf_quality, op5_hypergeometric_sharding, op8_aho_corasick, op9_diagonal_voting, op10_bayes_minhash)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_gear_chunks, op3_crf_quality, op4_progressive_jpeg, op5_hypergeometric_sharding, op7_bloom_lm, op8_aho_corasick, op9_diagonal_voting, op10_bayes_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
