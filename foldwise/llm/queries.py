@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import foldwise
-from foldwise.llm import decontaminate, licenses, lm, media, mixing, neardup, quality, sharding, substring
+from foldwise.llm import decontaminate, licenses, lm, media, mixing, neardup, quality, sharding, substring, wrappers
 from foldwise.llm.base import table
 
 
@@ -40,6 +40,11 @@ def op5_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_union_free_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    foldwise.ship(spark)
+    return wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -137,7 +142,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_gear_chunks, op3_crf_quality, op4_progressive_jpeg, op5_hypergeometric_sharding, op7_bloom_lm, op8_aho_corasick, op9_diagonal_voting, op10_bayes_minhash)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_gear_chunks, op3_crf_quality, op4_progressive_jpeg, op5_hypergeometric_sharding, op6_union_free_wrappers, op7_bloom_lm, op8_aho_corasick, op9_diagonal_voting, op10_bayes_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
