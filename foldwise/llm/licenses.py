@@ -61,6 +61,8 @@ def matches(docs: DataFrame, templates, min_share: float = 0.7) -> DataFrame:
     votes = votes.select("doc_id", "text_hash", "label", "exact", "n", "t_pos", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
     # one row a diagonal: a template's places on it, as a sum over distinct template positions
     diagonals = votes.groupBy("doc_id", "text_hash", "label", "exact", "n", "diagonal").agg(F.count_distinct("t_pos").alias("hits"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    # both kinds of templates are read from here, so the texts are scanned once
+    diagonals = frozen(diagonals, "license-diagonals")
     key = ["doc_id", "text_hash", "label"]
     exact = diagonals.where("exact and hits = n - 1").select(*key, "exact", F.col("diagonal").cast("long").alias("begin"), "n", F.col("hits").cast("long").alias("hits"), F.lit(1.0).alias("share"))
     # neighbouring diagonals whose votes lie close make one alignment
