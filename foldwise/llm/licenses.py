@@ -38,6 +38,11 @@ def words_of(text):
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(f"({ALNUM_WORD})"), F.lit(1))
 
 
+def n_words(text):
+    """Their number, without making them or folding case."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+
+
 def template_grams(spark, templates) -> DataFrame:
     """(label, exact, n, t_pos, gram): a few hundred rows, one for each place of each template."""
     rows = []
@@ -95,7 +100,7 @@ def scan(docs: DataFrame, phrases=None, templates=None, min_share: float = 0.7)
     came; a null doc_id is kept; other columns are ignored.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    sized = rows.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
+    sized = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("n_words"))
     known = [(*p, True) for p in phrases or PHRASES] + [(*t, False) for t in templates or TEMPLATES]
     # equal rows would vote twice on one diagonal; distinct template positions make that harmless
     found = matches(rows, known, min_share)
