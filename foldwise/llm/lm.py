@@ -17,7 +17,7 @@ FILTER_BYTES, BITS, PROBES = 32 << 20, 10, 4
 #: Most token types in the broadcast table of exact counts; rarer types are joined.
 FREQUENT_TYPES = 1 << 19
 #: Tokens that a task counts before it hands on what it has.
-FLUSH_TOKENS = 4 << 20
+FLUSH_TOKENS = 2 << 20
 #: Weight of the bigram estimate against the unigram one where the history is known.
 BIGRAM_WEIGHT = 0.3
 
