@@ -322,7 +322,7 @@ def _may_be_among(rows: DataFrame, column: str):
     or a worker; with very many values it passes everything, and the join decides.
     """
     spot = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = rows.groupBy(F.floor(spot / 64).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("bits"))
+    words = rows.groupBy(F.floor(spot / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("bits"))
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     for batch in words.toArrow().to_batches():
         table[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
