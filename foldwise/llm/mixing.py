@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), max_copies: int = 3) -> DataFra
     return rows.select("source", "source_size", F.when(F.col("open"), F.col("level")["col2"] * F.col("weight") / F.col("level")["sharing"]).otherwise(cap).alias("target"))
 
 
-def plan(docs: DataFrame, weights=(5, 2, 1), max_copies: int = 3, seed: int = 7, buckets: int = 1 << 14) -> DataFrame:
+def plan(docs: DataFrame, weights=(5, 2, 1), max_copies: int = 3, seed: int = 7, buckets: int = 1 << 11) -> DataFrame:
     """Per source: target, copies per unit of weight, and where its sample ends.
 
     ``docs`` has doc_id, source and size. See :func:`mix` for the method.
@@ -140,7 +140,7 @@ def _drawn(buckets: int):
     return (F.col("part") > 0) & F.coalesce(F.col("edge").isNull() | (place < F.col("edge")) | ((place == F.col("edge")) & (key <= F.col("end"))), F.lit(False))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), max_copies: int = 3, seed: int = 7, buckets: int = 1 << 14) -> DataFrame:
+def mix(docs: DataFrame, weights=(5, 2, 1), max_copies: int = 3, seed: int = 7, buckets: int = 1 << 11) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies and taken.
 
     A document's expected number of copies is its source's rate times a weight
