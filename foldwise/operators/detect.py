@@ -13,8 +13,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.where("target > base").select("target", "base")
 
 
-def candidates(slots: DataFrame, dc: bool = False) -> DataFrame:
-    """(t, b, score, first_k, same_pos) of all pairs that share a slot's value, b before t.
+def candidates(slots: DataFrame, dc: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """(t, b, score, first_k, same_pos) of all pairs that share a slot's value, b before t; ``within``: columns that must be equal too.
 
     Records with equal sketches would pair with each other in every slot: only the
     first of each such class takes part as a base, which is the base that the order
@@ -22,10 +22,10 @@ def candidates(slots: DataFrame, dc: bool = False) -> DataFrame:
     """
     match = F.col("same_dc") if dc else F.lit(True)
     slots = slots.withColumn("dc", F.lit(0)) if "dc" not in slots.columns else slots
-    whole = slots.groupBy("id").agg(F.hash(F.array_sort(F.collect_list(F.struct("k", "sf", "dc")))).alias("a"), F.xxhash64(F.array_sort(F.collect_list(F.struct("k", "sf", "dc")))).alias("c"))
-    firsts = whole.groupBy("a", "c").agg(F.min("id").alias("id")).select("id")
-    bases = slots.join(firsts, "id", "left_semi").select("k", "sf", F.col("id").alias("b"), F.col("pos").alias("b_pos"), F.col("dc").alias("b_dc"))
-    pairs = slots.select("k", "sf", F.col("id").alias("t"), "pos", "dc").join(bases, ["k", "sf"]).where("b < t").withColumn("same_dc", F.col("dc") == F.col("b_dc"))
+    whole = slots.groupBy("id", *within).agg(F.hash(F.array_sort(F.collect_list(F.struct("k", "sf", "dc")))).alias("a"), F.xxhash64(F.array_sort(F.collect_list(F.struct("k", "sf", "dc")))).alias("c"))
+    firsts = whole.groupBy("a", "c", *within).agg(F.min("id").alias("id")).select("id")
+    bases = slots.join(firsts, "id", "left_semi").select(*within, "k", "sf", F.col("id").alias("b"), F.col("pos").alias("b_pos"), F.col("dc").alias("b_dc"))
+    pairs = slots.select(*within, "k", "sf", F.col("id").alias("t"), "pos", "dc").join(bases, [*within, "k", "sf"]).where("b < t").withColumn("same_dc", F.col("dc") == F.col("b_dc"))
     return pairs.groupBy("t", "b").agg(
         F.sum(match.cast("int")).alias("score"), F.min("k").alias("first_k"), F.max((match & (F.col("pos") == F.col("b_pos"))).cast("int")).alias("same_pos")
     )
