@@ -9,11 +9,10 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.base import frozen
-
 #: Most bytes of all wrappers that are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 #: Pages that must agree on a text before it counts as the host's own.
@@ -295,7 +294,8 @@ def extract(pages: DataFrame) -> DataFrame:
     columns named text or n_chars are replaced.
     """
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
-    wrappers = frozen(infer(pages), "wrappers").withColumnsRenamed({"host": "__host", "wrapper": "__wrapper"})
+    # kept, not written: a row a host in many small files is dearer than inferring a lost part again
+    wrappers = infer(pages).persist(StorageLevel.MEMORY_AND_DISK).withColumnsRenamed({"host": "__host", "wrapper": "__wrapper"})
     size = wrappers.agg(F.coalesce(F.sum(F.length("__wrapper")), F.lit(0))).first()[0]
     side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
     rows = pages.select(*keep).withColumn("__own", host_of("url"))
