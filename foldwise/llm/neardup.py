@@ -148,14 +148,14 @@ def _exact_filter(percent: int):
     return keep
 
 
-def tile_links(nodes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], leader: int, cross: np.ndarray, least: dict[int, int], percent: int) -> list[tuple[int, int]]:
+def tile_links(nodes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], leader: int, cross: np.ndarray | None, least: dict[int, int], percent: int) -> list[tuple[int, int]]:
     """Links that connect what is linked among a tile's members: a spanning forest, not all pairs.
 
     The leader is compared with every member first. What is linked to it is one
     component, so only pairs with a member outside it are compared further, in
     order of falling signature agreement and only while they are in different
-    components. ``cross`` marks the tile's two sides; in a tile of two sides only
-    pairs across them are compared.
+    components. ``cross`` marks the second side of a tile of two sides, in which only
+    pairs across them are compared; it is None in a tile of one side.
     """
     n, links = len(nodes), []
     parent = np.arange(n)
@@ -177,12 +177,11 @@ def tile_links(nodes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], lead
         near = others[_may_link(sigs[np.full(len(others), leader)], sigs[others], least)]
         if len(near):
             join(leader, near)
-    two_sided = bool(cross.any() and not cross.all())
     loose = np.flatnonzero(parent != parent[leader])
     for i in loose.tolist():
         rest = np.flatnonzero(parent != parent[i])
         rest = rest[(rest != leader) & ((parent[rest] == parent[leader]) | (rest > i))]
-        if two_sided:
+        if cross is not None:
             rest = rest[cross[rest] != cross[i]]
         if not len(rest):
             continue
@@ -215,7 +214,8 @@ def _tile_edges(members: DataFrame, least: dict[int, int], percent: int) -> Data
         sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
         sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
         leader = int(np.flatnonzero(nodes == key[0].as_py())[0])
-        links = tile_links(nodes, sigs, sets, leader, group.column("own").to_numpy() == key[2].as_py(), least, percent)
+        cross = group.column("own").to_numpy() == key[2].as_py() if key[1] != key[2] else None
+        links = tile_links(nodes, sigs, sets, leader, cross, least, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return rows.groupBy("leader", "i", "j").applyInArrow(run, "a long, b long")
