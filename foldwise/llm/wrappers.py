@@ -29,6 +29,9 @@ _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea iframe object svg math canvas select".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+CONTAINERS = set("div section article main header footer aside nav table tbody td ul ol body *".split())
+#: Elements that end an open one of the same kind.
+TURNS = {"li": "item", "dt": "term", "dd": "term", "tr": "row", "td": "cell", "th": "cell", "option": "option"}
 MAIN = {"article", "main"}
 #: Elements, and words of classes, ids and roles, whose content is not the article.
 ASIDE = set("head title nav footer aside form button dialog menu input option legend fieldset".split()) | RAW
@@ -76,7 +79,7 @@ def parse(html: str) -> tuple[Node, bool]:
             continue
         if name == "p" or name not in INLINE:
             for at in range(len(open_) - 1, 0, -1):
-                if open_[at].name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (open_[at].name == name and name in ("li", "tr", "td", "th", "dt", "dd", "option")):
+                if open_[at].name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (name in TURNS and TURNS.get(open_[at].name) == TURNS[name]):
                     del open_[at:]
                     break
                 if open_[at].name not in INLINE:
@@ -93,10 +96,13 @@ def parse(html: str) -> tuple[Node, bool]:
         node = Node(f"{name}.{'.'.join(sorted(words))}" if words else name, name, aside, main)
         above.children.append(node)
         if name not in VOID and not attributes.endswith("/"):
-            if len(open_) < DEPTH:
+            if len(open_) >= DEPTH:
+                # deeper elements are read as part of their ancestor, or not at all if they are aside
+                above.children.pop()
+                if not aside or above.aside:
+                    node.children = above.children
+            if len(open_) < 10 * DEPTH:
                 open_.append(node)
-            elif name not in INLINE:
-                open_[-1] = node
     return root, has_main
 
 
@@ -124,6 +130,13 @@ def _same(a: list, b: list) -> bool:
     return a[0] == b[0] and (a[0] != "*" or [x[0] for x in a[3]] == [x[0] for x in b[3]])
 
 
+def _alike(a: list, b: list) -> bool:
+    """Whether neighbours repeat each other: containers must hold the same kinds of things for that."""
+    if not _same(a, b):
+        return False
+    return a[0] == "#" or a[0].split(".")[0] not in CONTAINERS or {x[0] for x in a[3]} == {x[0] for x in b[3]}
+
+
 def folded(items: list) -> list:
     """Tandem repeats of one to three items become one repeated item or group."""
     for width in (1, 2, 3):
@@ -132,7 +145,7 @@ def folded(items: list) -> list:
         while i < len(items):
             group = items[i : i + width]
             j = i + width
-            while len(group) == width and j + width <= len(items) and all(_same(x, y) for x, y in zip(group, items[j : j + width], strict=True)):
+            while len(group) == width and j + width <= len(items) and all(_alike(x, y) for x, y in zip(group, items[j : j + width], strict=True)):
                 group = [merged_item(x, y) for x, y in zip(group, items[j : j + width], strict=True)]
                 j += width
             if j > i + width:
@@ -170,7 +183,7 @@ def merged(a: list, b: list) -> list:
         found = next((i for i in places.get(y[0], ()) if i >= at and _same(a[i], y)), None)
         if found is None:
             # more of what was just matched is a repetition
-            if out and _same(out[-1], y):
+            if out and _alike(out[-1], y):
                 out[-1] = merged_item(out[-1], y)
                 out[-1][2] = True
             else:
