@@ -19,16 +19,10 @@ def slot(k: int) -> tuple[int, int]:
     return (1103515245 * (2 * k + 1) + 12345) % PRIME, (69069 * (k + 1) + 1) % PRIME
 
 
-def slot_values(windows):
-    """For an array of (x, pos): per slot the greatest (a x + b) mod p and its first place, packed as one number.
-
-    The value has 31 bits and the place 32, so one array_max does both.
-    """
-
-    def packed(a: int, b: int):
-        return F.array_max(F.transform(windows, lambda w: F.shiftleft((w["x"] * a + b) % PRIME, 32) + (0xFFFFFFFF - w["pos"])))
-
-    return F.array(*[packed(*slot(k)) for k in range(SLOTS)])
+def slot_value(x, pos, k: int):
+    """(a x + b) mod p on top, the place below turned round: the greatest such number is the slot's value at its first place."""
+    a, b = slot(k)
+    return F.shiftleft((x * a + b) % PRIME, 32) + (0xFFFFFFFF - pos)
 
 
 def _packed(h):
@@ -69,9 +63,15 @@ def windows_2d(text):
 
 
 def sketches(docs: DataFrame, windows=windows_1d) -> DataFrame:
-    """(id, slots): packed slot values of each document that has a window; no shuffle, a row is sketched where it is read."""
-    rows = docs.select(F.col("doc_id").alias("id"), windows(F.col("text")).alias("w")).where(F.size("w") > 0)
-    return rows.select("id", slot_values(F.col("w")).alias("slots"))
+    """(id, slots): packed slot values of each document that has a window.
+
+    The maxima are plain aggregates over generated windows, all in one generated
+    loop; a document's windows meet in the task that reads it, so what is shuffled
+    is one row of SLOTS numbers a document.
+    """
+    rows = docs.select(F.col("doc_id").alias("id"), F.explode(windows(F.col("text"))).alias("w")).select("id", F.col("w.x").alias("x"), F.col("w.pos").alias("pos"))
+    best = rows.groupBy("id").agg(*[F.max(slot_value(F.col("x"), F.col("pos"), k)).alias(f"s{k}") for k in range(SLOTS)])
+    return best.select("id", F.array(*[f"s{k}" for k in range(SLOTS)]).alias("slots"))
 
 
 def exploded(sketched: DataFrame) -> DataFrame:
