@@ -13,18 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.bits import ZIGZAG, BitReader, Damaged, extend, huffman
 from foldwise.llm.base import slices
 
 BLOCK = 64
-
-
-def _zigzag() -> np.ndarray:
-    """Natural index (8 * row + column) of each zigzag place: diagonals, walked in turn up and down."""
-    cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda rc: (sum(rc), rc[0] if sum(rc) % 2 else rc[1]))
-    return np.array([8 * r + c for r, c in cells])
-
-
-ZIGZAG = _zigzag()
+#: Natural index (8 * row + column) of each zigzag place.
+_NATURAL = np.array(ZIGZAG)
 
 
 def _transform() -> np.ndarray:
@@ -33,7 +27,7 @@ def _transform() -> np.ndarray:
     basis = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) / 2
     basis[0] /= np.sqrt(2)
     basis = np.round(basis * 8192)
-    return np.kron(basis, basis)[ZIGZAG]
+    return np.kron(basis, basis)[_NATURAL]
 
 
 _INVERSE = _transform()
@@ -41,55 +35,10 @@ _INVERSE = _transform()
 _UNIT = 6
 
 
-class Damaged(ValueError):
-    """The bytes are no progressive JPEG that this decoder reads."""
-
-
-# ---- bits ----
-
-
-class _Bits:
-    """Bits of one entropy-coded segment, most significant first."""
-
-    def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
-
-    def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < -64:
-            raise Damaged("the scan ends early")
-        if self.left < 0:
-            return ((self.value << -self.left) | ((1 << -self.left) - 1)) & ((1 << n) - 1)
-        return (self.value >> self.left) & ((1 << n) - 1)
-
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (found := codes.get((n, code))) is not None:
-                return found
-        raise Damaged("no such code")
-
-
-def huffman_codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    """(length, code) -> symbol of a table given as in the file: codes of each length in rising order."""
-    out, code, at = {}, 0, 0
-    for n, count in enumerate(counts, 1):
-        for _ in range(count):
-            out[n, code] = symbols[at]
-            code, at = code + 1, at + 1
-        code <<= 1
-    return out
-
-
-def _extend(value: int, size: int) -> int:
-    return value if size == 0 or value >> (size - 1) else value - (1 << size) + 1
-
-
 # ---- scans ----
 
 
-def _dc_scan(bits: _Bits, plane_of, order, codes, high: int, low: int) -> None:
+def _dc_scan(bits: BitReader, plane_of, order, codes, high: int, low: int) -> None:
     """DC of interleaved or single components: differences first, then one bit a block."""
     before: dict[int, int] = {}
     for c, at in order:
@@ -98,11 +47,11 @@ def _dc_scan(bits: _Bits, plane_of, order, codes, high: int, low: int) -> None:
                 plane_of[c][at, 0] |= 1 << low
         else:
             size = bits.symbol(codes[c])
-            before[c] = before.get(c, 0) + _extend(bits.take(size), size)
+            before[c] = before.get(c, 0) + extend(bits.take(size), size)
             plane_of[c][at, 0] = before[c] << low
 
 
-def _ac_first(bits: _Bits, plane: np.ndarray, blocks, codes, begin: int, end: int, low: int) -> None:
+def _ac_first(bits: BitReader, plane: np.ndarray, blocks, codes, begin: int, end: int, low: int) -> None:
     run = 0
     for at in blocks:
         if run:
@@ -115,7 +64,7 @@ def _ac_first(bits: _Bits, plane: np.ndarray, blocks, codes, begin: int, end: in
                 k += skip
                 if k > end:
                     raise Damaged("a run leaves its band")
-                plane[at, k] = _extend(bits.take(size), size) * (1 << low)
+                plane[at, k] = extend(bits.take(size), size) * (1 << low)
                 k += 1
             elif skip == 15:
                 k += 16
@@ -124,7 +73,7 @@ def _ac_first(bits: _Bits, plane: np.ndarray, blocks, codes, begin: int, end: in
                 break
 
 
-def _ac_refine(bits: _Bits, plane: np.ndarray, blocks, codes, begin: int, end: int, low: int) -> None:
+def _ac_refine(bits: BitReader, plane: np.ndarray, blocks, codes, begin: int, end: int, low: int) -> None:
     run, bit = 0, 1 << low
 
     def correct(at: int, k: int) -> None:
@@ -159,14 +108,14 @@ def _ac_refine(bits: _Bits, plane: np.ndarray, blocks, codes, begin: int, end: i
 def _packed_dc(data: bytes, count: int, codes: dict, refine: bool) -> np.ndarray | None:
     """The bits of a DC scan that has one bit a block: a refinement, or a first scan whose differences are all 0 by the code 0."""
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=min(count, 8 * len(data)))
-    if len(bits) < count or not refine and (codes.get((1, 0)) != 0 or bits.any()):
+    if len(bits) < count or not refine and (codes.get("0") != 0 or bits.any()):
         return None
     return bits
 
 
 def _packed_first(data: bytes, blocks: int, width: int, codes: dict, low: int) -> np.ndarray | None:
     """Values of a first AC scan if each coefficient is the code 0 and seven bits, one byte each."""
-    if codes.get((1, 0)) != 7 or len(data) < blocks * width:
+    if codes.get("0") != 7 or len(data) < blocks * width:
         return None
     values = np.frombuffer(data, np.uint8, blocks * width).astype(np.int32)
     if (values > 127).any():
@@ -182,16 +131,15 @@ def _packed_refine(data: bytes, plane: np.ndarray, codes: dict, begin: int, end:
     bits, at, block = np.unpackbits(np.frombuffer(data, np.uint8)), 0, 0
     added = np.zeros(band.shape, np.int32)
     while block < len(band):
-        head = bits[at : at + 32].tolist()
-        code = found = 0
-        for n, b in enumerate(head[:16], 1):
-            code = code << 1 | b
-            if (found := codes.get((n, code))) is not None:
+        head = "".join(map(str, bits[at : at + 32].tolist()))
+        found = None
+        for n in range(1, 17):
+            if (found := codes.get(head[:n])) is not None:
                 break
         if found is None or found & 15 or found >> 4 == 15:
             return False
         size = found >> 4
-        run = (1 << size) + (int("".join(map(str, head[n : n + size])) or "0", 2))
+        run = (1 << size) + int(head[n : n + size] or "0", 2)
         at += n + size
         take = run * band.shape[1]
         if block + run > len(band) or at + take > len(bits):
@@ -262,7 +210,7 @@ def coefficients(data: bytes) -> tuple[Frame, dict[int, np.ndarray], bytes]:
         elif kind == 0xC4:
             while body:
                 n = sum(body[1:17])
-                tables[body[0] >> 4, body[0] & 15] = huffman_codes(body[1:17], body[17 : 17 + n])
+                tables[body[0] >> 4, body[0] & 15] = huffman(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif kind == 0xDD:
             restart = struct.unpack(">H", body[:2])[0]
@@ -301,7 +249,7 @@ def _scan(frame: Frame, tables: dict, body: bytes, data: bytes, restart: int) ->
                 return
         for piece, first in zip(pieces, range(0, units, restart or units), strict=False):
             order = ((c, int(at[u])) for u in range(first, min(units, first + (restart or units))) for c, at in parts)
-            _dc_scan(_Bits(piece), frame.planes, order, codes, high, low)
+            _dc_scan(BitReader(piece), frame.planes, order, codes, high, low)
         return
     c = which[0]
     codes, blocks, plane = tables.get((1, selected[c] & 15), {}), frame.raster(c), frame.planes[c]
@@ -312,7 +260,7 @@ def _scan(frame: Frame, tables: dict, body: bytes, data: bytes, restart: int) ->
             plane[:, begin : end + 1] = values
             return
     for piece, first in zip(pieces, range(0, len(blocks), restart or len(blocks)), strict=False):
-        (_ac_refine if high else _ac_first)(_Bits(piece), plane, blocks[first : first + (restart or len(blocks))].tolist(), codes, begin, end, low)
+        (_ac_refine if high else _ac_first)(BitReader(piece), plane, blocks[first : first + (restart or len(blocks))].tolist(), codes, begin, end, low)
 
 
 # ---- pixels ----
