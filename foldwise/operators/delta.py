@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.sources.records import let, lines, words
+
 # ---- over cells (id, y, x, block) ----
 
 
@@ -15,22 +17,44 @@ def block_index(cells: DataFrame) -> DataFrame:
     return cells.where("h is not null").withColumn("before", before).where("before is null or before <> h").drop("before")
 
 
-def matched_cells(best: DataFrame, cells: DataFrame) -> DataFrame:
-    """(t, cells, matched): how many of the target's blocks its base holds anywhere."""
-    target = best.select("t", "b").join(cells.select(F.col("id").alias("t"), "block"), "t")
-    base = cells.select(F.col("id").alias("b"), "block").distinct().withColumn("here", F.lit(1))
-    return target.groupBy("t", "b", "block").agg(F.count("*").alias("n")).join(base, ["b", "block"], "left").groupBy("t").agg(
-        F.sum("n").alias("cells"), F.sum(F.when(F.col("here") == 1, F.col("n")).otherwise(0)).alias("matched")
-    )
+def matched_cells(pairs: DataFrame) -> DataFrame:
+    """(t, cells, matched): how many of the target's blocks its base holds anywhere, from pairs (t, target, base) of texts.
+
+    Blocks are counted by kind before they are looked up, so a frequent word is one row.
+    """
+    split = lambda c: F.explode(F.split(c, "[\n ]", -1)).alias("block")
+    target = pairs.select("t", split("target")).groupBy("t", "block").agg(F.count("*").alias("n"))
+    base = pairs.select("t", split("base")).distinct().withColumn("here", F.lit(1))
+    return target.join(base, ["t", "block"], "left").groupBy("t").agg(F.sum("n").alias("cells"), F.sum(F.when(F.col("here") == 1, F.col("n")).otherwise(0)).alias("matched"))
+
+
+def marked(pairs: DataFrame) -> DataFrame:
+    """(t, y, x, copy, bytes) of each target's blocks, from pairs (t, target, base) of texts.
+
+    Both texts are in one row, so blocks are compared where they stand: no block is
+    joined, only the texts of pairs were.
+    """
+
+    def of_row(line, base):
+        same = lambda own: F.transform(words(line), lambda w, i: F.struct(F.coalesce(w == F.get(own, i), F.lit(False)).alias("copy"), F.octet_length(w).alias("bytes")))
+        return let(words(base), same)
+
+    grid_ = let(lines(F.col("base")), lambda base: F.transform(lines(F.col("target")), lambda line, y: of_row(line, F.get(base, y))))
+    rows = pairs.select("t", F.posexplode(grid_).alias("y", "row"))
+    return rows.select("t", "y", F.posexplode("row").alias("x", "m")).select("t", "y", "x", "m.copy", "m.bytes")
+
+
+def opened(cells: DataFrame) -> DataFrame:
+    """``cells`` with opens: a run begins where the row does or the kind changes."""
+    before = F.lag("copy").over(Window.partitionBy("t", "y").orderBy("x"))
+    return cells.withColumn("opens", F.coalesce((before != F.col("copy")).cast("long"), F.lit(1).cast("long")))
 
 
-def fixed_point(best: DataFrame, cells: DataFrame) -> DataFrame:
+def fixed_point(pairs: DataFrame) -> DataFrame:
     """(t, y, op, x, len): maximal runs of blocks that are, or are not, those of the base at the same place."""
-    target = best.select("t", "b").join(cells.select(F.col("id").alias("t"), "y", "x", "block"), "t")
-    base = cells.select(F.col("id").alias("b"), "y", "x", F.col("block").alias("own"))
-    marked = target.join(base, ["b", "y", "x"], "left").select("t", "y", "x", F.when(F.col("block") == F.col("own"), "COPY").otherwise("INSERT").alias("op"))
-    run = marked.withColumn("island", F.col("x") - F.row_number().over(Window.partitionBy("t", "y", "op").orderBy("x")))
-    return run.groupBy("t", "y", "op", "island").agg(F.min("x").alias("x"), F.count("*").alias("len")).drop("island")
+    runs = opened(marked(pairs)).withColumn("run", F.sum("opens").over(Window.partitionBy("t", "y").orderBy("x")))
+    kind = F.when(F.first("copy"), "COPY").otherwise("INSERT")
+    return runs.groupBy("t", "y", "run").agg(kind.alias("op"), F.min("x").alias("x"), F.count("*").alias("len")).drop("run")
 
 
 # ---- over grids in memory: lists of rows of comparable blocks ----

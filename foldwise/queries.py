@@ -244,12 +244,12 @@ def block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_BEST} SELECT best.t, count(*) AS cells, sum((EXISTS (SELECT 1 FROM cells d WHERE d.id = best.b AND d.block = c.block))::INT)::BIGINT AS matched
 FROM best JOIN cells c ON c.id = best.t GROUP BY best.t""")
 def block_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.matched_cells(_best(spark, sf_dir), _cells(spark, sf_dir))
+    return delta.matched_cells(_pairs_with_text(spark, sf_dir))
 
 
 @query(f"WITH {_FIXED} SELECT t, y, op, x, len FROM runs")
 def fixed_point_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.fixed_point(_best(spark, sf_dir), _cells(spark, sf_dir))
+    return delta.fixed_point(_pairs_with_text(spark, sf_dir))
 
 
 def _pairs_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,14 +305,7 @@ _SIZES = f"""{_FIXED}, sizes AS (
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each target's delta: two for each instruction field, and the residual words."""
-    best, cells = _best(spark, sf_dir), _cells(spark, sf_dir)
-    target = best.select("t", "b").join(cells.select(F.col("id").alias("t"), "y", "x", "block"), "t")
-    base = cells.select(F.col("id").alias("b"), "y", "x", F.col("block").alias("own"))
-    same = F.coalesce(F.col("block") == F.col("own"), F.lit(False))
-    # a run begins where the row does or the kind changes, so one window by target and row gives all counts
-    marked = target.join(base, ["b", "y", "x"], "left").select("t", "y", "x", same.alias("copy"), F.octet_length("block").alias("bytes"))
-    before = F.lag("copy").over(Window.partitionBy("t", "y").orderBy("x"))
-    opens = marked.withColumn("opens", (before.isNull() | (before != F.col("copy"))).cast("long"))
+    opens = delta.opened(delta.marked(_pairs_with_text(spark, sf_dir)))
     copies = F.sum(F.when(F.col("copy"), F.col("opens")).otherwise(0))
     sums = opens.groupBy("t").agg((2 * copies).alias("x"), (2 * copies).alias("y"), (2 * copies).alias("len"), (2 * F.sum("opens")).alias("inl"), F.sum(F.when(~F.col("copy"), F.col("bytes")).otherwise(0)).alias("residual"))
     return sums
@@ -349,7 +342,7 @@ def compression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_BEST}, m AS (SELECT best.t, count(*) AS cells, sum((EXISTS (SELECT 1 FROM cells d WHERE d.id = best.b AND d.block = c.block))::INT) AS matched FROM best JOIN cells c ON c.id = best.t GROUP BY best.t)
 SELECT least(19, floor(matched * 20 / cells))::INT AS bin, count(*) AS targets FROM m GROUP BY 1""")
 def similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.similarity_histogram(delta.matched_cells(_best(spark, sf_dir), _cells(spark, sf_dir)))
+    return stats.similarity_histogram(delta.matched_cells(_pairs_with_text(spark, sf_dir)))
 
 
 @query(f"WITH {_SLOTS}, g AS (SELECT count(*) AS n FROM slots GROUP BY k, sf) SELECT sum(n - 1)::BIGINT AS hits, sum(n)::BIGINT AS slots, round(sum(n - 1)::DOUBLE / sum(n), 6) AS rate FROM g")
