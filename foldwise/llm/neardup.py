@@ -19,6 +19,8 @@ HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
 #: A group of candidates with more members is verified in tiles, its members' sets at hand.
 SMALL_GROUP = 48
 TILE = 512
+#: Members of a large group that all its members are compared with first.
+PIVOTS = 16
 
 #: Bits of the filter that picks the texts to fetch.
 FILTER_BITS = 1 << 24
@@ -148,77 +150,129 @@ def _exact_filter(percent: int):
     return keep
 
 
-def tile_links(nodes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], leader: int, cross: np.ndarray | None, least: dict[int, int], percent: int) -> list[tuple[int, int]]:
+class _Sets:
+    """Signatures and sets of some members, compared many at a time."""
+
+    def __init__(self, group, least: dict[int, int], percent: int):
+        self.nodes = group.column("node").to_numpy()
+        self.sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        self.sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.least, self.percent = least, percent
+
+    def likely(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that the signatures do not rule out, most agreeing first."""
+        others = others[_may_link(self.sigs[np.full(len(others), i)], self.sigs[others], self.least)]
+        agree = (self.sigs[others] == self.sigs[i]).sum(axis=1)
+        return others[np.argsort(-agree, kind="stable")]
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` (not none) whose full sets are similar enough to i's."""
+        flat = np.concatenate([self.sets[j] for j in others])
+        at = np.minimum(np.searchsorted(self.sets[i], flat), len(self.sets[i]) - 1)
+        common = np.add.reduceat((self.sets[i][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(self.sizes[others])[:-1]]))
+        return others[_linked(common, self.sizes[i], self.sizes[others], self.percent)]
+
+
+def pivot_links(own: _Sets, pivots: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """(links, loose nodes) after comparing a group's part with the group's pivots.
+
+    The pivots that reach the least one over links among themselves are the group's
+    core: the same in every part, as each part holds all pivots. A member linked
+    to one of the core needs no more; a pivot out of the core or a member linked to
+    none of it is loose.
+    """
+    links, at = [], np.flatnonzero(pivots)
+    at = at[np.argsort(own.nodes[at])]
+    core, open_, rest = [int(at[0])], at[1:], np.flatnonzero(~pivots)
+    for i in core:
+        for waiting in ("pivots", "members"):
+            likely = own.likely(i, open_ if waiting == "pivots" else rest)
+            near = own.linked(i, likely) if len(likely) else likely
+            links += [(int(own.nodes[i]), int(own.nodes[j])) for j in near.tolist()]
+            if waiting == "pivots":
+                core += near.tolist()  # the loop goes on over them
+                open_ = np.setdiff1d(open_, near)
+            else:
+                rest = np.setdiff1d(rest, near)
+    return links, [int(own.nodes[j]) for j in (*open_.tolist(), *rest.tolist())]
+
+
+def tile_links(own: _Sets, settled: np.ndarray, cross: np.ndarray | None) -> list[tuple[int, int]]:
     """Links that connect what is linked among a tile's members: a spanning forest, not all pairs.
 
-    The leader is compared with every member first. What is linked to it is one
-    component, so only pairs with a member outside it are compared further, in
-    order of falling signature agreement and only while they are in different
-    components. ``cross`` marks the second side of a tile of two sides, in which only
-    pairs across them are compared; it is None in a tile of one side.
+    Settled members are one component already, so a loose one is compared with them
+    only until it joins them. ``cross`` marks the second side of a tile of two sides,
+    in which only pairs across them are compared; it is None in a tile of one side.
     """
-    n, links = len(nodes), []
-    parent = np.arange(n)
-    sizes = np.array([len(s) for s in sets])
-
-    def common_with(i: int, others: np.ndarray) -> np.ndarray:
-        flat = np.concatenate([sets[j] for j in others])
-        at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
-        return np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
-
-    def join(i: int, others: np.ndarray) -> None:
-        for j in others[_linked(common_with(i, others), sizes[i], sizes[others], percent)].tolist():
-            if parent[i] != parent[j]:
-                links.append((int(nodes[i]), int(nodes[j])))
-                parent[parent == parent[j]] = parent[i]
-
-    others = np.flatnonzero(np.arange(n) != leader)
-    if len(others):
-        near = others[_may_link(sigs[np.full(len(others), leader)], sigs[others], least)]
-        if len(near):
-            join(leader, near)
-    loose = np.flatnonzero(parent != parent[leader])
-    for i in loose.tolist():
-        rest = np.flatnonzero(parent != parent[i])
-        rest = rest[(rest != leader) & ((parent[rest] == parent[leader]) | (rest > i))]
+    links, parent = [], np.arange(len(own.nodes))
+    if settled.any():
+        parent[settled] = int(np.flatnonzero(settled)[0])
+    for i in np.flatnonzero(~settled).tolist():
+        rest = np.flatnonzero((parent != parent[i]) & (settled | (np.arange(len(parent)) > i)))
         if cross is not None:
             rest = rest[cross[rest] != cross[i]]
-        if not len(rest):
-            continue
-        rest = rest[_may_link(sigs[np.full(len(rest), i)], sigs[rest], least)]
-        if not len(rest):
-            continue
-        agree = (sigs[rest] == sigs[i]).sum(axis=1)
-        rest = rest[np.argsort(-agree, kind="stable")]
+        rest = own.likely(i, rest)
         for at in range(0, len(rest), 32):
             part = rest[at : at + 32]
             part = part[parent[part] != parent[i]]
-            if len(part):
-                join(i, part)
+            for j in own.linked(i, part).tolist() if len(part) else []:
+                if parent[i] != parent[j]:
+                    links.append((int(own.nodes[i]), int(own.nodes[j])))
+                    parent[parent == parent[j]] = parent[i]
     return links
 
 
-def _tile_edges(members: DataFrame, least: dict[int, int], percent: int) -> DataFrame:
-    """Links within large groups; a group's members go to tiles of about TILE members a side."""
+def _part(parts: str):
+    return F.pmod(F.xxhash64("node", F.lit(1)), F.col(parts)).cast("int")
+
+
+def _upto(parts: str):
+    return F.sequence(F.lit(0), F.col(parts) - 1)
+
+
+def _large_group_links(members: DataFrame, least: dict[int, int], percent: int) -> DataFrame:
+    """Links (a, b) within large groups; ``members`` has leader, node, n, sig and set.
+
+    First every member meets the at most PIVOTS pivots of its group, in parts of
+    about TILE members: work and rows grow with the members, and all that reach the
+    group's core are done. Only the loose ones are then compared, with each other
+    and with the settled ones, in tiles of about TILE members a side.
+    """
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
-    own = F.when(F.col("node") == F.col("leader"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), parts).cast("int"))
-    rows = members.withColumns({"parts": parts}).withColumn("own", own)
-    pairs = F.when(
-        F.col("own") < 0,
-        F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.transform(F.sequence(i, F.col("parts") - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))))),
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"))))
-    rows = rows.withColumn("tile", F.explode(pairs)).select("leader", "tile.i", "tile.j", "node", "own", "sig", "set")
-
-    def run(key, group):
-        nodes = group.column("node").to_numpy()
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-        leader = int(np.flatnonzero(nodes == key[0].as_py())[0])
-        cross = group.column("own").to_numpy() == key[2].as_py() if key[1] != key[2] else None
-        links = tile_links(nodes, sigs, sets, leader, cross, least, percent)
+    pivots = members.groupBy("leader", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("k")).agg(F.min("node").alias("node")).select("leader", "node", F.lit(True).alias("pivot"))
+    rows = members.join(pivots, ["leader", "node"], "left").withColumns({"parts": parts, "pivot": F.coalesce("pivot", F.lit(False))})
+    rows = rows.withColumn("part", F.explode(F.when(F.col("pivot"), _upto("parts")).otherwise(F.array(_part("parts")))))
+
+    def meet(group):
+        links, loose = pivot_links(_Sets(group, least, percent), group.column("pivot").to_numpy(zero_copy_only=False))
+        key = group.column("leader")[0].as_py()
+        a, b = [x for x, _ in links] + loose, [y for _, y in links] + [None] * len(loose)
+        return pa.table({"leader": pa.array([key] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    met = frozen(rows.select("leader", "part", "node", "pivot", "sig", "set").groupBy("leader", "part").applyInArrow(meet, "leader long, a long, b long"), "near-met")
+    loose = frozen(met.where("b is null").select("leader", F.col("a").alias("node")).distinct(), "near-loose")
+    counts = frozen(loose.groupBy("leader").agg(F.count("*").alias("n_loose")), "near-loose-groups")
+    rows = members.join(counts, "leader").join(loose.withColumn("loose", F.lit(True)), ["leader", "node"], "left").withColumn("loose", F.coalesce("loose", F.lit(False)))
+    rows = rows.withColumns({"across": F.ceil(F.col("n_loose") / TILE).cast("int"), "down": F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("n_loose")) / TILE)).cast("int")})
+    rows = rows.withColumn("own", F.when(F.col("loose"), _part("across")).otherwise(_part("down")))
+    # a tile is (loose part, loose part, true) or (loose part, settled part, false)
+    tile = lambda i, j, among: F.struct(i.alias("i"), j.alias("j"), F.lit(among).alias("among"))
+    of_loose = F.concat(
+        F.transform(_upto("across"), lambda j: tile(F.least(j, F.col("own")), F.greatest(j, F.col("own")), True)), F.transform(_upto("down"), lambda j: tile(F.col("own"), j, False))
+    )
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("loose"), of_loose).otherwise(F.transform(_upto("across"), lambda i: tile(i, F.col("own"), False)))))
+
+    def compare(key, group):
+        _, i, j, among = (k.as_py() for k in key)
+        loose = group.column("loose").to_numpy(zero_copy_only=False)
+        cross = ~loose if not among else group.column("own").to_numpy() == j if i != j else None
+        links = tile_links(_Sets(group, least, percent), ~loose, cross)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return rows.groupBy("leader", "i", "j").applyInArrow(run, "a long, b long")
+    rows = rows.select("leader", "tile.i", "tile.j", "tile.among", "node", "own", "loose", "sig", "set")
+    tiles = rows.groupBy("leader", "i", "j", "among").applyInArrow(compare, "a long, b long")
+    return met.where("b is not null").select("a", "b").unionByName(tiles)
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -257,9 +311,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float
     100 * intersection >= percent * union.
 
     The classes of a bucket are grouped under its least class. Groups of up to
-    SMALL_GROUP members give their pairs as rows; larger ones are verified in
-    tiles that return a spanning forest of their links, so no group's pairs are
-    all emitted and none is capped. Components come from star contractions over
+    SMALL_GROUP members give their pairs as rows. In larger ones every member is
+    compared with a few pivots first, and only those that do not reach the pivots'
+    core are compared further, in tiles that return a spanning forest of their
+    links: no group's pairs are all emitted and none is capped. Components come from star contractions over
     frozen links; no link, component or fingerprint passes through the driver.
 
     component_id is the least doc_id of the component; kept is doc_id <=>
@@ -290,8 +345,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float
     sets = frozen(_sets(docs, frozen(wanted, "near-wanted"), k), "near-sets")
     exact = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     links = exact.where(_exact_filter(percent)("set_a", "set_b")).select("a", "b")
-    tiles = _tile_edges(large.join(sigs, "node").join(sets, "node"), least, percent)
-    roots = frozen(components(links.unionByName(tiles)), "near-roots")
+    inner = _large_group_links(frozen(large.join(sigs, "node").join(sets, "node"), "near-large-sets"), least, percent)
+    roots = frozen(components(links.unionByName(inner)), "near-roots")
     # per component its least doc_id, then per class
     placed = classes.select("node", "digest", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
