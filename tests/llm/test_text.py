@@ -269,6 +269,34 @@ def test_one_large_group_of_near_copies(spark):
     assert found == near(rows)
 
 
+def test_pivots_and_tiles_of_one_group():
+    """Links over pivots, and then from what is loose to the rest, connect what brute force connects."""
+    rng, least = np.random.default_rng(3), neardup.least_matches(0.85, 1e-5)
+    start = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        own, at = start.copy(), rng.permutation(200)[: rng.integers(0, 30)]
+        own[at] = rng.integers(0, 1 << 62, len(at), dtype=np.uint64)
+        sets.append(np.unique(own))
+    sigs = [neardup.signature(s).astype(np.uint8).tobytes() for s in sets]
+    group = neardup._Sets(pa.table({"node": pa.array(range(150), pa.int64()), "sig": sigs, "set": [s.tobytes() for s in sets]}), least, 85)
+
+    def roots(links):
+        root = list(range(150))
+        for a, b in links:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(i for i in range(150) if root[i] == r) for r in set(root)}
+
+    common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(150) for j in range(i)}
+    wanted = roots([p for p, c in common.items() if 100 * c >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - c)])
+    pivots = np.arange(150) % 20 == 0
+    links, loose = neardup.pivot_links(group, pivots)
+    assert 0 < len(loose) < 150
+    settled = ~np.isin(np.arange(150), loose)
+    assert roots(links + neardup.tile_links(group, settled, None)) == wanted
+    assert roots(neardup.tile_links(group, np.zeros(150, bool), None)) == wanted
+
+
 def test_chain_of_near_copies(spark):
     own = [f"w{i}" for i in range(200)]
     rows = []
