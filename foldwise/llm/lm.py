@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, word_hashes, word_spans
+from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, text_buffers, word_hashes, word_spans
 
-#: Most bytes of the broadcast filter, bits an insertion, probes of one insertion.
+#: Most bytes of a filter that is broadcast (a larger one stays in its hash ranges), bits an insertion, probes of one insertion.
 FILTER_BYTES, BITS, PROBES = 32 << 20, 10, 4
 #: Most token types in the broadcast table of exact counts; rarer types are joined.
 FREQUENT_TYPES = 1 << 19
@@ -25,6 +25,9 @@ _END, _START = np.uint64(0xE0D), np.uint64(0x57A7)
 _PAIR = splitmix(0xB16, 2) | np.uint64(1)
 _PROBE = splitmix(0xF117E4, 64)
 _KIND = np.uint64(0x8000000000000001)
+#: The least count of each kind that enters the filter: all do.
+LEAST = {0: 1, 1: 1}
+NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,19 +146,25 @@ def _least_count(rows, room: int, cost) -> int:
     return least
 
 
+def _filled(table, least: dict[int, int], segment_bits: int) -> np.ndarray:
+    """One segment's bytes, with every level of the n-grams in ``table``."""
+    bits = np.zeros(segment_bits, dtype=bool)
+    for kind in (0, 1):
+        hashes, counts = _arrays(table, kind)
+        hashes, levels = hashes[counts >= least[kind]], level(counts[counts >= least[kind]])
+        for depth in range(1, int(levels.max(initial=0)) + 1):
+            own = hashes[levels >= depth] ^ (_KIND * np.uint64(kind))
+            for probe in range(PROBES):
+                bits[_spot(own, depth, probe, segment_bits)] = True
+    return np.packbits(bits, bitorder="little")
+
+
 def _segments(summed: DataFrame, least: dict[int, int], segment_bits: int, buckets: int) -> np.ndarray:
     """The filter's bytes: each bucket fills its own segment, so no two tasks write to one place."""
 
     def run(key, table):
-        bits = np.zeros(segment_bits, dtype=bool)
-        for kind in (0, 1):
-            hashes, counts = _arrays(table, kind)
-            hashes, levels = hashes[counts >= least[kind]], level(counts[counts >= least[kind]])
-            for depth in range(1, int(levels.max(initial=0)) + 1):
-                own = hashes[levels >= depth] ^ (_KIND * np.uint64(kind))
-                for probe in range(PROBES):
-                    bits[_spot(own, depth, probe, segment_bits)] = True
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        bits = _filled(table, least, segment_bits)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     rows = summed.groupBy("bucket").applyInArrow(run, "bucket int, bits binary").collect()
     out = np.zeros((buckets, segment_bits // 8), np.uint8)
@@ -189,6 +198,17 @@ def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == fold
 
 
+def _model(types: np.ndarray, at: np.ndarray, first: np.ndarray, type_levels: np.ndarray, gram_levels: np.ndarray, total: float, weight: float) -> np.ndarray:
+    """Each row's score from the levels of its slice's token types and of every token's bigram."""
+    unigram, bigram = unlevel(type_levels), unlevel(gram_levels)
+    # as many rows start as end, so the start's count is the end's
+    history = np.concatenate([[0.0], unigram[at][:-1]])
+    history[first[:-1]] = unigram[np.searchsorted(types, _END)]
+    share = np.where(history > 0, weight, 0.0)
+    chance = share * np.minimum(1.0, bigram / np.maximum(history, 1.0)) + (1 - share) * (unigram[at] + 1) / 10**total
+    return np.add.reduceat(np.log10(chance), first[:-1])
+
+
 def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_types: int = FREQUENT_TYPES, weight: float = BIGRAM_WEIGHT) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -214,23 +234,20 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_types: int
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
     buckets = 1 << max(4, math.ceil(math.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))))
-    summed = frozen(_summed(_counted(rows.where("not held_out"), buckets)), "lm-counts")
+    summed = _written(_summed(_counted(rows.where("not held_out"), buckets)), "lm-counts")
     histogram = _histogram(summed)
     by_kind = [[(r["count"], r["types"]) for r in histogram if r["kind"] == k] for k in (0, 1)]
     n_train = sum(r["tokens"] for r in histogram if r["kind"] == 0)
     n_types = sum(t for _, t in by_kind[0])
-    room = filter_bytes * 8 // BITS
-    depth = lambda count: int(count).bit_length()
-    least = {0: _least_count(by_kind[0], room // 2, depth)}
-    used = sum(t * depth(c) for c, t in by_kind[0] if c >= least[0])
-    least[1] = _least_count(by_kind[1], room - used, depth)
-    used += sum(t * depth(c) for c, t in by_kind[1] if c >= least[1])
+    used = sum(t * int(c).bit_length() for kind in by_kind for c, t in kind)
     segment_bits = max(64, -(-used * BITS // buckets // 64) * 64)
-    bits = _segments(summed, least, segment_bits, buckets)
+    total = math.log10(n_train + n_types + 1)
+    if segment_bits * buckets > filter_bytes * 8:
+        return _ranged(rows, summed, segment_bits, buckets, total, weight).withColumn("train_tokens", F.lit(n_train).cast("long")).select(*NAMES)
+    bits = _segments(summed, LEAST, segment_bits, buckets)
     frequent = _least_count(by_kind[0], frequent_types, lambda _: 1)
     hashes, counts = _table(summed.where("kind = 0"), frequent)
     known = spark.sparkContext.broadcast((bits, hashes, counts))
-    total = math.log10(n_train + n_types + 1)
 
     scored = rows.withColumn("row", F.monotonically_increasing_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -265,17 +282,9 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_types: int
             if not here.all():
                 loose = ~here[at]
                 rare.append((own[loose], of[loose]))
-            before, grams = pairs(own, first)
-            unigram = unlevel(probed(bits, types, 0, segment_bits, buckets))
-            # as many rows start as end, so the start's count is the end's
-            end = np.searchsorted(types, _END)
-            history = np.concatenate([[0.0], unigram[at][:-1]])
-            history[first[:-1]] = unigram[end]
+            grams = pairs(own, first)[1]
             distinct, back = np.unique(grams, return_inverse=True)
-            bigram = unlevel(probed(bits, distinct, 1, segment_bits, buckets))[back]
-            share = np.where(history > 0, weight, 0.0)
-            chance = share * np.minimum(1.0, bigram / np.maximum(history, 1.0)) + (1 - share) * (unigram[at] + 1) / 10**total
-            model = np.add.reduceat(np.log10(chance), first[:-1])
+            model = _model(types, at, first, probed(bits, types, 0, segment_bits, buckets), probed(bits, distinct, 1, segment_bits, buckets)[back], total, weight)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(first), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(model), *blank(n, [pa.int32(), pa.binary(), pa.binary()])],
@@ -297,6 +306,88 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_types: int
     )
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``frozen``, after which the shuffles that led to it are deleted: nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return frozen(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte place by byte place, so that a shuffle compresses them."""
+    return np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _ranged(rows: DataFrame, summed: DataFrame, segment_bits: int, buckets: int, total: float, weight: float) -> DataFrame:
+    """The scores by a filter that stays in its hash ranges.
+
+    The texts are frozen in slices of bounded size. Each slice sends its distinct
+    n-grams to their ranges, where the segment is filled and asked; a byte for each
+    n-gram (and a unigram's exact count) comes back in the order of the hashes.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _ in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), c) for c in batch.columns], names=["ids", "texts", "held"])
+
+    sliced = rows.mapInArrow(cut, f"ids array<{kind}>, texts array<string>, held array<boolean>")
+    sliced = frozen(sliced.select(F.monotonically_increasing_id().alias("slice"), "*"), "lm-slices")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["slice", "kind", "bucket", "hashes"]
+        for batch in batches:
+            for i, number in enumerate(batch.column(0).to_pylist()):
+                own, first = tokens(*text_buffers(batch.column(1)[i].values))
+                for k, hashes in enumerate((np.unique(own), np.unique(pairs(own, first)[1]))):
+                    at = _cut(hashes, buckets)
+                    full = [b for b in range(buckets) if at[b + 1] > at[b]]
+                    sent = [_packed(hashes[at[b] : at[b + 1]]) for b in full]
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(full), pa.int64()), pa.array([k] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array(sent, pa.binary())], names=names)
+
+    def answer(left, right):
+        bits = _filled(right, LEAST, segment_bits)
+        hashes, counts = _arrays(right, 0)
+        levels, numbers = [], []
+        for k, data in zip(left.column("kind").to_pylist(), left.column("hashes"), strict=True):
+            own = _unpacked(data.as_py())
+            levels.append(probed(bits, own, k, segment_bits, 1).astype(np.uint8).tobytes())
+            exact = np.zeros(len(own) if k == 0 else 0, np.int64)
+            if len(exact) and len(hashes):
+                spot = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                exact = np.where(hashes[spot] == own, counts[spot], 0)
+            numbers.append(exact.tobytes())
+        return pa.table({"slice": left.column("slice"), "kind": left.column("kind"), "bucket": left.column("bucket"), "levels": pa.array(levels, pa.binary()), "counts": pa.array(numbers, pa.binary())})
+
+    def scores(left, right):
+        if not left.num_rows:
+            return pa.table({"doc_id": pa.array([], left.schema.field("ids").type.value_type), **{c: pa.array([], t) for c, t in (("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))}})
+        own, first = tokens(*text_buffers(left.column("texts").chunk(0)[0].values))
+        types, at = np.unique(own, return_inverse=True)
+        _, back = np.unique(pairs(own, first)[1], return_inverse=True)
+        order = sorted(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), range(right.num_rows), strict=True))
+        joined = lambda name, k, form: np.frombuffer(b"".join(right.column(name)[i].as_py() for kind, _, i in order if kind == k), form)
+        exact = joined("counts", 0, np.int64)
+        base = np.add.reduceat(np.log10(exact + 1.0)[at] - total, first[:-1])
+        n_known = np.add.reduceat((exact > 0).astype(np.int64)[at], first[:-1])
+        model = _model(types, at, first, joined("levels", 0, np.uint8).astype(np.int64), joined("levels", 1, np.uint8).astype(np.int64)[back], total, weight)
+        ids, held = (left.column(c).chunk(0)[0].values for c in ("ids", "held"))
+        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": base, "score": model})
+
+    asked = sliced.select("slice", "texts").mapInArrow(ask, "slice long, kind int, bucket int, hashes binary")
+    answered = asked.groupBy("bucket").cogroup(summed.groupBy("bucket")).applyInArrow(answer, "slice long, kind int, bucket int, levels binary, counts binary")
+    answered = _written(answered, "lm-levels")
+    return sliced.groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(scores, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
 def _table(summed: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of the types with at least ``least`` occurrences: bounded by the choice of ``least``."""
 

@@ -207,6 +207,15 @@ def test_filter_never_loses_a_level_and_stays_in_its_bound(spark):
     assert lm._least_count([(1, 1000), (2, 10), (5, 3)], 20, lambda _: 1) == 2
 
 
+def test_a_filter_over_the_broadcast_bound_holds_every_ngram(spark, odd):
+    frame = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    for docs in (frame, odd.select("doc_id", "text")):
+        whole, ranged = (sorted(map(tuple, lm.score(docs, filter_bytes=n).collect()), key=repr) for n in (lm.FILTER_BYTES, 16))
+        assert len(whole) == len(ranged) == docs.count()
+        for a, b in zip(whole, ranged, strict=True):
+            assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
+
+
 def test_model_of_odd_rows(odd, none):
     rows = lm.score(odd).collect()
     assert len(rows) == odd.count() and all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (3, 4, 5))
