@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes of all wrappers that are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
-#: Pages that must agree on a text before it counts as the host's own.
-SUPPORT = 3
+#: Distinct pages that must agree on a text before it counts as the host's own; least words of a text that tells pages apart.
+SUPPORT, TELLING_WORDS = 3, 8
 #: Hosts that a task holds before it hands on their wrappers; elements nested deeper than DEPTH are seen as their ancestor's.
 HOSTS, DEPTH, SALTS = 5000, 100, 32
 
@@ -114,6 +114,20 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(text.split())) >> 1
 
 
+def content_key(root: Node) -> int:
+    """One number for pages with the same content: that of their longer texts (if there are none, of all texts) outside asides."""
+    texts, left = set(), [root]
+    while left:
+        node = left.pop()
+        for child in node.children:
+            if not isinstance(child, str):
+                left.append(child)
+            elif not node.aside and child.strip():
+                texts.add(" ".join(child.split()))
+    telling = [t for t in texts if t.count(" ") + 1 >= TELLING_WORDS] or texts
+    return xxhash.xxh3_64_intdigest("\n".join(sorted(telling))) >> 1
+
+
 def wrapper_of(node: Node) -> list:
     """The wrapper of one page: its elements, with adjacent repetitions folded into repeated groups."""
     items = []
@@ -210,7 +224,8 @@ def _slots(items: list) -> bool:
 
 
 def _flat(items: list) -> list:
-    return [y for x in items for y in (_flat(x[3]) if x[0] == "*" else [x])]
+    """Groups opened; what an optional group holds is optional."""
+    return [[y[0], y[1] or x[1], *y[2:]] if x[0] == "*" else y for x in items for y in (_flat(x[3]) if x[0] == "*" else [x])]
 
 
 def main_text(html: str, wrapper: list | None) -> str:
@@ -218,14 +233,15 @@ def main_text(html: str, wrapper: list | None) -> str:
 
     The page is read along its host's wrapper. Texts in regions that are not the
     article are left out; if the page has an article or main element, only that
-    counts; outside of it a text that at least SUPPORT pages share at its place in
-    the wrapper is the host's own and is left out, provided the wrapper has slots.
+    counts; outside of it a text is the host's own and is left out if all distinct
+    pages, SUPPORT at least, have it in one place: neither the place nor what it
+    stands in is optional. That takes a wrapper with slots.
     """
     root, has_main = parse(html)
     blocks: list[list[str]] = [[]]
     templated = bool(wrapper) and _slots(wrapper)
 
-    def walk(node: Node, items: list | None) -> None:
+    def walk(node: Node, items: list | None, everywhere: bool = True) -> None:
         items, at = _flat(items) if items else [], 0
         for child in node.children:
             label = "#" if isinstance(child, str) else child.label
@@ -233,12 +249,12 @@ def main_text(html: str, wrapper: list | None) -> str:
             if items and (label != "#" or child.strip()):
                 for i in (*range(at, len(items)), *range(at)):
                     if items[i][0] == label:
-                        item, at = items[i], i
+                        item, at = items[i], i if items[i][2] else i + 1
                         break
             if label == "#":
                 if node.aside or has_main and not node.main:
                     continue
-                own = item is not None and templated and not node.main and item[3] is not None and item[4] >= SUPPORT and not item[2]
+                own = item is not None and templated and not node.main and item[3] is not None and item[4] >= SUPPORT and not item[2] and not item[1] and everywhere and item[3] == _digest(child)
                 if not own:
                     blocks[-1].append(child)
             elif child.name == "br":
@@ -247,7 +263,7 @@ def main_text(html: str, wrapper: list | None) -> str:
                 block = child.name not in INLINE
                 if block:
                     blocks.append([])
-                walk(child, item[3] if item else None)
+                walk(child, item[3] if item else None, everywhere and item is not None and not item[1])
                 if block:
                     blocks.append([])
 
@@ -264,12 +280,22 @@ def host_of(url: str):
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): every page of every host aligned into its host's wrapper, a JSON text.
+    """(host, wrapper): every distinct page of every host aligned into its host's wrapper, a JSON text.
 
-    Tasks merge the pages they read by host; these wrappers are merged in two
-    rounds, so a host with most of the pages is spread over many groups.
+    Of a host's pages with one ``content_key`` one counts. Tasks merge the pages they
+    get by host; these wrappers are merged in two rounds, so a host with most of
+    the pages is spread over many groups.
     """
 
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = [], []
+            for html in batch.column(1):
+                root = parse(html.as_py() or "")[0]
+                keys.append(content_key(root))
+                texts.append(json.dumps(wrapper_of(root)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["host", "key", "wrapper"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
 
@@ -277,8 +303,8 @@ def infer(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
 
         for batch in batches:
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = wrapper_of(parse(html.as_py() or "")[0])
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = json.loads(text.as_py())
                 held[host] = merged(held[host], own) if host in held else own
                 if len(held) > HOSTS:
                     yield out()
@@ -293,7 +319,9 @@ def infer(pages: DataFrame) -> DataFrame:
             own = merged(own, json.loads(text))
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(own)], pa.string())})
 
-    local = pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, wrapper string")
+    each = pages.select(host_of("url").alias("host"), "html").mapInArrow(single, "host string, key long, wrapper string")
+    distinct = each.groupBy("host", "key").agg(F.min("wrapper").alias("wrapper"))
+    local = distinct.select("host", "wrapper").mapInArrow(run, "host string, wrapper string")
     local = local.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
     return local.groupBy("host", "salt").applyInArrow(join, "host string, wrapper string").groupBy("host").applyInArrow(join, "host string, wrapper string")
 

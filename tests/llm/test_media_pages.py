@@ -145,3 +145,17 @@ def test_odd_page_rows(spark):
     found = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string")).collect()
     assert sorted(r["text"] for r in found) == ["", "a", "b", "b", "b"]
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_copies_of_one_article_do_not_make_its_text_the_hosts_own(spark):
+    words = lambda n, i: " ".join(f"{n}{i}x{k}" for k in range(12))
+    page = lambda i, more, date="": f"<div><p>Own words of this host</p></div><div><h1>{words('h', i)}</h1>{date}<p>{words('p', i)}</p>{more}</div>"
+    quoted = f"<blockquote>{words('q', 0)}</blockquote>"
+    rows = [(f"http://a.test/{i}", page(min(i, 5), quoted if i >= 5 else "")) for i in range(8)]
+    rows += [(f"http://b.test/{i}", page(9, "", f"<b>May {i}</b>")) for i in range(6)]
+    found = {r["url"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "url string, html string").repartition(3)).collect()}
+    for i in range(8):
+        text = found[f"http://a.test/{i}"]
+        assert words("h", min(i, 5)) in text and words("p", min(i, 5)) in text and "Own words" not in text
+        assert (words("q", 0) in text) == (i >= 5)
+    assert all(words("h", 9) in found[f"http://b.test/{i}"] and words("p", 9) in found[f"http://b.test/{i}"] for i in range(6))
