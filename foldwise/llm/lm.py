@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, text_buffers, word_hashes, word_spans
 
 #: Most bytes of a filter that is broadcast (a larger one stays in its hash ranges), bits an insertion, probes of one insertion.
-FILTER_BYTES, BITS, PROBES = 32 << 20, 10, 4
+#: What is broadcast is held once a worker and probed at random, so it should fit into a core's caches.
+FILTER_BYTES, BITS, PROBES = 8 << 20, 10, 4
 #: Most token types in the broadcast table of exact counts; rarer types are joined.
 FREQUENT_TYPES = 1 << 19
-#: Tokens that a task counts before it hands on what it has.
-FLUSH_TOKENS = 2 << 20
+#: Tokens that a task counts before it hands on what it has, and bytes of text whose n-grams are asked for together.
+FLUSH_TOKENS, ASK_BYTES = 1 << 20, 4 << 20
 #: Weight of the bigram estimate against the unigram one where the history is known.
 BIGRAM_WEIGHT = 0.3
 
@@ -73,8 +74,8 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
             [
                 pa.array([kind] * len(full), pa.int32()),
                 pa.array(full, pa.int32()),
-                pa.array([hashes[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()),
-                pa.array([counts[at[b] : at[b + 1]].astype(np.int64).tobytes() for b in full], pa.binary()),
+                pa.array([_packed(hashes[at[b] : at[b + 1]]) for b in full], pa.binary()),
+                pa.array([_narrow(counts[at[b] : at[b + 1]]) for b in full], pa.binary()),
             ],
             names=names,
         )
@@ -99,7 +100,7 @@ def _arrays(table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     hashes, counts = table.column("hashes"), table.column("counts")
     if not own:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([np.frombuffer(hashes[i].as_py(), np.uint64) for i in own]), np.concatenate([np.frombuffer(counts[i].as_py(), np.int64) for i in own])
+    return np.concatenate([_unpacked(hashes[i].as_py()) for i in own]), np.concatenate([_wide(counts[i].as_py()) for i in own])
 
 
 def _summed(chunks: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def _summed(chunks: DataFrame) -> DataFrame:
         hashes, counts = hashes[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         counts = np.add.reduceat(counts, first)
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "hashes": pa.array([hashes[first].tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "hashes": pa.array([_packed(hashes[first])], pa.binary()), "counts": pa.array([_narrow(counts)], pa.binary())})
 
     return chunks.groupBy("bucket", "kind").applyInArrow(run, "kind int, bucket int, hashes binary, counts binary")
 
@@ -123,7 +124,7 @@ def _histogram(summed: DataFrame) -> list:
     def run(batches):
         for batch in batches:
             for kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(data, np.int64)
+                counts = _wide(data)
                 rounded = np.where(counts < 4096, counts, 2 ** (level(counts) - 1).astype(np.int64))
                 values, at = np.unique(rounded, return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
@@ -222,18 +223,22 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_types: int
     occurrences are sent to their hash range, summed there, and joined back.
 
     score is the bigram model's: counts are quantised to 1 + floor(log2 c) and
-    every level up to that is put into one Bloom filter, which workers probe level
-    by level. P = w * c(h, t) / c(h) + (1 - w) * (c(t) + 1) / (N + V + 1), with
-    w = 0 for unknown histories. The filter never exceeds ``filter_bytes``: if the
-    n-grams need more, the least count that enters it is raised, bigrams first.
+    every level up to that of every n-gram is put into one Bloom filter, which is
+    probed level by level. P = w * c(h, t) / c(h) + (1 - w) * (c(t) + 1) / (N + V + 1),
+    with w = 0 for unknown histories. The filter grows with the n-grams. Up to
+    ``filter_bytes`` it is broadcast; a larger one stays in its hash ranges, and the
+    texts' distinct n-grams are sent there and answered. Both give the same scores.
 
     Null and empty texts have one token, the end. A null doc_id counts as ''.
-    Without training documents N = V = 0. Rows appear as often as they came; words
-    are told apart by 64-bit hashes; other columns are ignored.
+    Without training documents N = V = 0, and every score comes from the unigram
+    estimate; an empty table gives an empty result. Texts of any length are
+    one row; rows appear as often as they came; words are told apart by 64-bit
+    hashes; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    buckets = 1 << max(4, math.ceil(math.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))))
+    # several ranges a partition, so that tasks of some ranges each are alike
+    buckets = 4 << max(2, math.ceil(math.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))))
     summed = _written(_summed(_counted(rows.where("not held_out"), buckets)), "lm-counts")
     histogram = _histogram(summed)
     by_kind = [[(r["count"], r["types"]) for r in histogram if r["kind"] == k] for k in (0, 1)]
@@ -326,6 +331,16 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the greatest, behind one byte that says how many."""
+    size = 1 if (most := int(counts.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def _ranged(rows: DataFrame, summed: DataFrame, segment_bits: int, buckets: int, total: float, weight: float) -> DataFrame:
     """The scores by a filter that stays in its hash ranges.
 
@@ -336,7 +351,7 @@ def _ranged(rows: DataFrame, summed: DataFrame, segment_bits: int, buckets: int,
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in slices(batches):
+        for batch, _, _ in slices(batches, limit=ASK_BYTES):
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), c) for c in batch.columns], names=["ids", "texts", "held"])
 
     sliced = rows.mapInArrow(cut, f"ids array<{kind}>, texts array<string>, held array<boolean>")
@@ -364,7 +379,7 @@ def _ranged(rows: DataFrame, summed: DataFrame, segment_bits: int, buckets: int,
             if len(exact) and len(hashes):
                 spot = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                 exact = np.where(hashes[spot] == own, counts[spot], 0)
-            numbers.append(exact.tobytes())
+            numbers.append(_narrow(exact))
         return pa.table({"slice": left.column("slice"), "kind": left.column("kind"), "bucket": left.column("bucket"), "levels": pa.array(levels, pa.binary()), "counts": pa.array(numbers, pa.binary())})
 
     def scores(left, right):
@@ -374,11 +389,12 @@ def _ranged(rows: DataFrame, summed: DataFrame, segment_bits: int, buckets: int,
         types, at = np.unique(own, return_inverse=True)
         _, back = np.unique(pairs(own, first)[1], return_inverse=True)
         order = sorted(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), range(right.num_rows), strict=True))
-        joined = lambda name, k, form: np.frombuffer(b"".join(right.column(name)[i].as_py() for kind, _, i in order if kind == k), form)
-        exact = joined("counts", 0, np.int64)
+        joined = lambda name, k, of: np.concatenate([np.zeros(0, np.int64), *[of(right.column(name)[i].as_py()) for kind, _, i in order if kind == k]])
+        levels = lambda data: np.frombuffer(data, np.uint8).astype(np.int64)
+        exact = joined("counts", 0, _wide)
         base = np.add.reduceat(np.log10(exact + 1.0)[at] - total, first[:-1])
         n_known = np.add.reduceat((exact > 0).astype(np.int64)[at], first[:-1])
-        model = _model(types, at, first, joined("levels", 0, np.uint8).astype(np.int64), joined("levels", 1, np.uint8).astype(np.int64)[back], total, weight)
+        model = _model(types, at, first, joined("levels", 0, levels), joined("levels", 1, levels)[back], total, weight)
         ids, held = (left.column(c).chunk(0)[0].values for c in ("ids", "held"))
         return pa.table({"doc_id": ids, "held_out": held, "n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": base, "score": model})
 
@@ -394,7 +410,7 @@ def _table(summed: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         for batch in batches:
             for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, counts = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
+                hashes, counts = _unpacked(h), _wide(c)
                 own = counts >= least
                 yield pa.RecordBatch.from_arrays([pa.array([hashes[own].tobytes()], pa.binary()), pa.array([counts[own].tobytes()], pa.binary())], names=["hashes", "counts"])
 
@@ -413,7 +429,7 @@ def _rare_sums(occurrences: DataFrame, counts: DataFrame) -> DataFrame:
             return pa.table({"row": pa.array([], pa.int64()), "base": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
         join = lambda table, name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
         own, of = join(left, "hashes", np.uint64), join(left, "rows", np.int64)
-        hashes, numbers = join(right, "hashes", np.uint64), join(right, "counts", np.int64)
+        hashes, numbers = (np.concatenate([of_(x) for x in right.column(c).to_pylist()]) for c, of_ in (("hashes", _unpacked), ("counts", _wide)))
         at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
         here = hashes[at] == own
         rows, back = np.unique(of[here], return_inverse=True)
