@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 _UNITS = {"G": 1 << 30, "M": 1 << 20, "K": 1 << 10}
@@ -35,6 +36,8 @@ class DedupConfig:
     force_indexed: bool = False
     uniform_sample: bool = False
     feature_check: bool = True
+    #: A sketch function of one's own: (planes, file, config) -> sf, pos, dc and windows.
+    sketch: Callable | None = None
 
     def __post_init__(self):
         if not 1 <= self.sf_num * self.sf_component_num <= 64:
@@ -59,7 +62,7 @@ class DedupConfig:
         known = {f.name: f for f in fields(cls)}
         made = {}
         for name, value in options.items():
-            if name not in known:
+            if name not in known or name == "sketch":
                 raise ValueError(f"unknown option {name}")
             kind = type(getattr(cls, name))
             made[name] = parse_size(value) if name == "patch_size" else value in ("1", "yes", "true", True) if kind is bool else kind(value)

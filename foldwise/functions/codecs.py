@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from foldwise.functions import tans, vcdiff
 from foldwise.functions.bits import ZIGZAG, BitReader, Damaged, extend, magnitude
 
 # ---- columns: blocks as arrays of 64 numbers ----
@@ -31,13 +31,13 @@ def bit_length_column(value):
 
 
 def entropy_code(data: bytes) -> tuple[bytes, bool]:
-    """(bytes, coded): compressed only if that is smaller."""
-    packed = zlib.compress(data, 9)
-    return (packed, True) if len(packed) < len(data) else (data, False)
+    """(bytes, coded): coded only if that is smaller."""
+    packed = tans.encode(data)
+    return (data, False) if packed is None else (packed, True)
 
 
 def entropy_decode(data: bytes, coded: bool) -> bytes:
-    return zlib.decompress(data) if coded else data
+    return tans.decode(data) if coded else data
 
 
 def run_lengths(blocks: np.ndarray) -> list[tuple[int, int]]:
@@ -130,11 +130,23 @@ def unpack_column(data: bytes, coded: bool) -> list[int]:
 
 
 def delta_bytes(base: bytes, target: bytes) -> bytes:
-    """``target`` compressed against ``base`` as a dictionary (its last 32 KiB count)."""
-    coder = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_DEFAULT_STRATEGY, base[-32768:]) if base else zlib.compressobj(9, zlib.DEFLATED, -15)
-    return coder.compress(target) + coder.flush()
+    """``target`` as a byte delta against the whole base, entropy-coded if that is smaller: a flag and the payload."""
+    return packed_delta(vcdiff.encode(base, target))
 
 
-def undelta_bytes(base: bytes, delta: bytes) -> bytes:
-    coder = zlib.decompressobj(-15, base[-32768:]) if base else zlib.decompressobj(-15)
-    return coder.decompress(delta) + coder.flush()
+def packed_delta(delta: bytes) -> bytes:
+    payload, coded = entropy_code(delta)
+    return bytes([coded]) + payload
+
+
+def plain_delta(data: bytes) -> bytes:
+    return entropy_decode(data[1:], bool(data[0]))
+
+
+def undelta_bytes(base: bytes, data: bytes) -> bytes:
+    return vcdiff.decode(base, plain_delta(data))
+
+
+def composed_delta(one: bytes, two: bytes) -> bytes:
+    """From one's base to two's target."""
+    return packed_delta(vcdiff.compose(plain_delta(one), plain_delta(two)))

@@ -26,7 +26,8 @@ class Rabin:
     """Rabin fingerprint of the last ``window`` bytes, seeded by one byte 1."""
 
     def __init__(self, window: int, polynomial: int = RABIN_POLYNOMIAL):
-        self.window, degree = window, _degree(polynomial)
+        self.window, self.polynomial, degree = window, polynomial, _degree(polynomial)
+        self._tables: list[np.ndarray] | None = None
         self.shift, self.mask = degree - 8, (1 << degree) - 1
         self.out = []
         for b in range(256):
@@ -49,11 +50,44 @@ class Rabin:
         self.digest = ((self.digest << 8) | byte) ^ self.reduce[top]
         return self.digest
 
-    def windows(self, data: bytes) -> np.ndarray:
-        """The digest after each byte from the first full window on."""
-        self.reset()
-        digests = [self.slide(b) for b in data]
-        return np.array(digests[self.window - 1 :], np.uint64)
+    def windows(self, data: bytes, step: int = 1) -> np.ndarray:
+        """The digest of each full window, ``step`` bytes apart (128 for blocks).
+
+        A digest is a residue, so it is the exclusive or of what each byte gives at
+        its place: one table look-up for each place of the window, for all windows at once.
+        """
+        octets = np.frombuffer(data, np.uint8)
+        count = (len(octets) - self.window) // step + 1
+        if count <= 0:
+            return np.zeros(0, np.uint64)
+        out = np.zeros(count, np.uint64)
+        for place, table in enumerate(self._place_tables()):
+            out ^= table[octets[place : place + (count - 1) * step + 1 : step]]
+        # the seed, a byte 1 slid in at the reset, has left every full window
+        return out
+
+    def grids(self, blocks: np.ndarray, side: int) -> np.ndarray:
+        """Digests of all squares of ``side`` blocks, column by column, of blocks as (rows, columns, bytes); window = side * side blocks."""
+        rows, columns, size = blocks.shape
+        if rows < side or columns < side:
+            return np.zeros(0, np.uint64)
+        out = np.zeros((rows - side + 1, columns - side + 1), np.uint64)
+        tables = iter(self._place_tables())
+        for x in range(side):
+            for y in range(side):
+                own = blocks[y : y + out.shape[0], x : x + out.shape[1]]
+                for k in range(size):
+                    out ^= next(tables)[own[:, :, k]]
+        return out.ravel()
+
+    def _place_tables(self) -> list[np.ndarray]:
+        if self._tables is None:
+            self._tables = [np.array([_mod(b, self.polynomial) for b in range(256)], np.uint64)]
+            for _ in range(self.window - 1):
+                # one byte further from the window's end: times x**8
+                last = self._tables[-1]
+                self._tables.append(((last << np.uint64(8)) & np.uint64(self.mask)) ^ np.array(self.reduce, np.uint64)[(last >> np.uint64(self.shift)).astype(np.int64)] & np.uint64(self.mask))
+        return self._tables[::-1]
 
 
 def gear_table() -> np.ndarray:
@@ -121,12 +155,6 @@ def dc_hash_column(block):
     return F.shiftleft(F.get(block, 0).cast("long"), 24).bitwiseOR(F.get(block, 8).cast("long").bitwiseAND(0xFF00)).bitwiseOR(F.get(block, 9).cast("long").bitwiseAND(0xFF))
 
 
-def dc_hash(blocks: np.ndarray) -> np.ndarray:
-    """The same of (n, 64) int16 blocks, as 32 bits."""
-    b = blocks.astype(np.int64)
-    return ((b[:, 0] << 24) | (b[:, 8] & 0xFF00) | (b[:, 9] & 0xFF)) & 0xFFFFFFFF
-
-
-def parity_hash(blocks: np.ndarray) -> np.ndarray:
-    """The low bits of a block's 64 coefficients as one number, the first on top."""
-    return np.packbits((blocks & 1).astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
+def parity_hash_column(block):
+    """The low bits of a block's coefficients as a string of 0 and 1."""
+    return F.array_join(F.transform(block, lambda v: v.bitwiseAND(1).cast("string")), "")

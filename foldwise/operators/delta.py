@@ -28,8 +28,8 @@ def matched_cells(pairs: DataFrame) -> DataFrame:
     return target.join(base, ["t", "block"], "left").groupBy("t").agg(F.sum("n").alias("cells"), F.sum(F.when(F.col("here") == 1, F.col("n")).otherwise(0)).alias("matched"))
 
 
-def marked(pairs: DataFrame) -> DataFrame:
-    """(t, y, x, copy, bytes) of each target's blocks, from pairs (t, target, base) of texts.
+def marked(pairs: DataFrame, *keep: str) -> DataFrame:
+    """(t, y, x, copy, bytes) of each target's blocks, from pairs (t, target, base) of texts; columns of ``keep`` stay.
 
     Both texts are in one row, so blocks are compared where they stand: no block is
     joined, only the texts of pairs were.
@@ -40,8 +40,8 @@ def marked(pairs: DataFrame) -> DataFrame:
         return let(words(base), same)
 
     grid_ = let(lines(F.col("base")), lambda base: F.transform(lines(F.col("target")), lambda line, y: of_row(line, F.get(base, y))))
-    rows = pairs.select("t", F.posexplode(grid_).alias("y", "row"))
-    return rows.select("t", "y", F.posexplode("row").alias("x", "m")).select("t", "y", "x", "m.copy", "m.bytes")
+    rows = pairs.select("t", *keep, F.posexplode(grid_).alias("y", "row"))
+    return rows.select("t", *keep, "y", F.posexplode("row").alias("x", "m")).select("t", *keep, "y", "x", "m.copy", "m.bytes")
 
 
 def opened(cells: DataFrame) -> DataFrame:
@@ -60,13 +60,19 @@ def fixed_point(pairs: DataFrame) -> DataFrame:
 # ---- over grids in memory: lists of rows of comparable blocks ----
 
 
+#: Lengths of block sequences that an index knows; the longest that occurs names the places to try.
+DEPTHS = (8, 4, 2, 1)
+
+
 def index_of(base: list[list], collapse_runs: bool = False) -> dict:
-    """Block -> its places (y, x), row by row."""
+    """(Sequence of one to eight blocks) -> its places (y, x), row by row."""
     found: dict = {}
     for y, row in enumerate(base):
         for x, block in enumerate(row):
             if not (collapse_runs and x and row[x - 1] == block):
-                found.setdefault(block, []).append((y, x))
+                for depth in DEPTHS:
+                    if x + depth <= len(row):
+                        found.setdefault(tuple(row[x : x + depth]), []).append((y, x))
     return found
 
 
@@ -83,7 +89,8 @@ def instructions(base: list[list], target: list[list], fixed: bool = False, coll
     for y, row in enumerate(target):
         at = waiting = 0
         while at < len(row):
-            places = [(y, at)] if fixed else index.get(row[at], ())
+            # the longest run is at one of the places of the longest sequence that occurs at all
+            places = [(y, at)] if fixed else next((p for d in DEPTHS if at + d <= len(row) and (p := index.get(tuple(row[at : at + d])))), ())
             best, where = 0, (0, 0)
             for by, bx in places:
                 line = base[by] if by < len(base) else []
@@ -94,6 +101,8 @@ def instructions(base: list[list], target: list[list], fixed: bool = False, coll
                     run += 1
                 if run > best:
                     best, where = run, (bx, by)
+                if best == len(row) - at:
+                    break
             if best:
                 copies.append((*where, best))
                 inserts.append(waiting)
@@ -137,9 +146,11 @@ def coefficient_grid(plane: np.ndarray) -> list[list[bytes]]:
 
 
 def greedy(pairs: DataFrame, fixed: str = "fix_flag") -> DataFrame:
-    """(t, copies, inserted, copied, restored) of (t, target, base, fix_flag): each pair is coded and replayed in one Arrow batch."""
+    """(t, copies, inserted, copied, restored, restored_md5) of (t, target, base, fix_flag): each pair is coded, and replayed from its instructions."""
 
     def run(batches):
+        import hashlib
+
         import pandas as pd
 
         for batch in batches:
@@ -148,7 +159,8 @@ def greedy(pairs: DataFrame, fixed: str = "fix_flag") -> DataFrame:
                 one, two = grid(base), grid(target)
                 copies, inserts, residual = instructions(one, two, fixed=not flag)
                 again = replay(one, [len(r) for r in two], copies, inserts, residual)
-                rows.append((t, len(copies), len(residual), sum(c[2] for c in copies), again == two))
-            yield pd.DataFrame(rows, columns=["t", "copies", "inserted", "copied", "restored"])
+                text = "\n".join(" ".join(row) for row in again)
+                rows.append((t, len(copies), len(residual), sum(c[2] for c in copies), text == target, hashlib.md5(text.encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["t", "copies", "inserted", "copied", "restored", "restored_md5"])
 
-    return pairs.select("t", "target", "base", fixed).mapInPandas(run, "t long, copies long, inserted long, copied long, restored boolean")
+    return pairs.select("t", "target", "base", fixed).mapInPandas(run, "t long, copies long, inserted long, copied long, restored boolean, restored_md5 string")

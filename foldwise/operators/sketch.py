@@ -19,10 +19,15 @@ def slot(k: int) -> tuple[int, int]:
     return (1103515245 * (2 * k + 1) + 12345) % PRIME, (69069 * (k + 1) + 1) % PRIME
 
 
-def slot_value(x, pos, k: int):
-    """(a x + b) mod p on top, the place below turned round: the greatest such number is the slot's value at its first place."""
+def slot_value(x, place, k: int):
+    """(a x + b) mod p on top, the window's number below turned round: the greatest such number is the slot's value at its first window."""
     a, b = slot(k)
-    return F.shiftleft((x * a + b) % PRIME, 32) + (0xFFFFFFFF - pos)
+    return F.shiftleft((x * a + b) % PRIME, 32) + (0xFFFFFFFF - place)
+
+
+def position(y, x):
+    """Line and word as one number of 64 bits."""
+    return F.shiftleft(y.cast("long"), 32) + x
 
 
 def _packed(h):
@@ -30,13 +35,13 @@ def _packed(h):
 
 
 def windows_1d(text):
-    """Windows of four words of a line: 7 hash bits of each; place = line * 65536 + first word."""
+    """Windows of four words of a line: 7 hash bits of each, and the position of the first word."""
 
     def of_line(line, y):
         def of_hashes(hs):
             at = F.when(F.size(hs) >= WINDOW, F.sequence(F.lit(0), F.size(hs) - WINDOW)).otherwise(F.expr("cast(array() as array<int>)"))
             x = lambda i: sum((_packed(F.get(hs, i + j)) * (1 << (7 * (WINDOW - 1 - j))) for j in range(1, WINDOW)), _packed(F.get(hs, i)) * (1 << 21))
-            return F.transform(at, lambda i: F.struct(x(i).alias("x"), (y.cast("long") * 65536 + i).alias("pos")))
+            return F.transform(at, lambda i: F.struct(x(i).alias("x"), position(y, i).alias("pos")))
 
         return let(F.transform(words(line), hash28), of_hashes)
 
@@ -52,7 +57,7 @@ def windows_2d(text):
                 width = F.least(F.size(F.get(two, 0)), F.size(F.get(two, 1)))
                 at = F.when(width >= 2, F.sequence(F.lit(0), width - 2)).otherwise(F.expr("cast(array() as array<int>)"))
                 h = lambda r, i: _packed(F.get(F.get(two, r), i))
-                return F.transform(at, lambda i: F.struct((h(0, i) * (1 << 21) + h(1, i) * (1 << 14) + h(0, i + 1) * (1 << 7) + h(1, i + 1)).alias("x"), (y.cast("long") * 65536 + i).alias("pos")))
+                return F.transform(at, lambda i: F.struct((h(0, i) * (1 << 21) + h(1, i) * (1 << 14) + h(0, i + 1) * (1 << 7) + h(1, i + 1)).alias("x"), position(y, i).alias("pos")))
 
             return let(F.array(F.get(rows, y), F.get(rows, y + 1)), of_two)
 
@@ -63,21 +68,23 @@ def windows_2d(text):
 
 
 def sketches(docs: DataFrame, windows=windows_1d) -> DataFrame:
-    """(id, slots): packed slot values of each document that has a window.
+    """(id, slots): (sf, pos) of each slot of each document that has a window, and batch if ``docs`` has it.
 
     The maxima are plain aggregates over generated windows, all in one generated
     loop; a document's windows meet in the task that reads it, so what is shuffled
-    is one row of SLOTS numbers a document.
+    is one row of SLOTS pairs a document.
     """
-    rows = docs.select(F.col("doc_id").alias("id"), F.explode(windows(F.col("text"))).alias("w")).select("id", F.col("w.x").alias("x"), F.col("w.pos").alias("pos"))
-    best = rows.groupBy("id").agg(*[F.max(slot_value(F.col("x"), F.col("pos"), k)).alias(f"s{k}") for k in range(SLOTS)])
-    return best.select("id", F.array(*[f"s{k}" for k in range(SLOTS)]).alias("slots"))
+    key = ["id", "batch"] if "batch" in docs.columns else ["id"]
+    rows = docs.withColumn("id", F.col("doc_id")).select(*key, F.posexplode(windows(F.col("text"))).alias("place", "w")).select(*key, "place", F.col("w.x").alias("x"), F.col("w.pos").alias("pos"))
+    values = [slot_value(F.col("x"), F.col("place"), k) for k in range(SLOTS)]
+    best = rows.groupBy(*key).agg(*[F.max(v).alias(f"v{k}") for k, v in enumerate(values)], *[F.max_by("pos", v).alias(f"p{k}") for k, v in enumerate(values)])
+    return best.select(*key, F.array(*[F.struct(F.shiftright(f"v{k}", 32).alias("sf"), F.col(f"p{k}").alias("pos")) for k in range(SLOTS)]).alias("slots"))
 
 
 def exploded(sketched: DataFrame) -> DataFrame:
     """(id, k, sf, pos): one row a slot."""
-    rows = sketched.select("id", F.posexplode("slots").alias("k", "v"))
-    return rows.select("id", "k", F.shiftright("v", 32).alias("sf"), (0xFFFFFFFF - F.col("v").bitwiseAND(0xFFFFFFFF)).alias("pos"))
+    key = [c for c in sketched.columns if c != "slots"]
+    return sketched.select(*key, F.posexplode("slots").alias("k", "v")).select(*key, "k", "v.sf", "v.pos")
 
 
 def super_features(slots: DataFrame, per: int = 2) -> DataFrame:
@@ -141,12 +148,16 @@ def exact_sketch(planes: list[np.ndarray], raw: bytes, config: DedupConfig) -> d
     elif config.feature_method == "gear" and config.dimension != 1:
         x = np.array([gear_block(t.astype("<i2").tobytes()) for t in luma.reshape(-1, 64)], np.uint64)
     else:
-        data = raw if config.data_type == "raw" else b"".join(p.astype("<i2").tobytes() for p in planes)
+        blocks = np.ascontiguousarray(luma.astype("<i2")).view(np.uint8).reshape(*luma.shape[:2], 128)
+        data = raw if config.data_type == "raw" else blocks.tobytes()
         if config.feature_method == "gear":
             x = gear(data)[63:]
+        elif config.dimension == 1:
+            x = Rabin(config.block_size).windows(data)
+        elif config.dimension == 2:
+            x = Rabin(config.block_size**2 * 128).grids(blocks, config.block_size)
         else:
-            window = config.block_size if config.dimension == 1 else config.block_size * 128
-            x = Rabin(window).windows(data if config.dimension == 1 else luma.astype("<i2").tobytes())
+            x = Rabin(config.block_size * 128).windows(blocks.tobytes(), 128)
     if not len(x):
         return {"sf": [0] * config.sf_num, "pos": [0] * config.sf_num, "dc": [0] * config.sf_num, "windows": 0}
     best = np.zeros(n, np.int64)

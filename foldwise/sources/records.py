@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.sources import ordered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, dir, name, length, content of every file below ``path``; unreadable files are skipped."""
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return rows.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length", "content")
+    """path (relative to the folder ``path``), dir, name, length, content of every file below; unreadable files are skipped."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("ignoreCorruptFiles", "true").load(path)
+    own = F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")
+    return rows.select(own.alias("path"), F.regexp_extract(own, r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract(own, r"([^/]*)$", 1).alias("name"), "length", "content")
 
 
 def hash28(word):
@@ -53,32 +57,19 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 def with_end_of_dir(docs: DataFrame, dir_col: str = "source", order: str = "doc_id") -> DataFrame:
     """Adds end_of_dir: nothing of the same directory follows."""
-    following = F.lead(order).over(Window.partitionBy(dir_col).orderBy(order))
-    return docs.withColumn("end_of_dir", following.isNull())
+    found = ordered.with_neighbour(docs, [dir_col, order], dir_col, "following", before=False)
+    return found.withColumn("end_of_dir", ~(F.col("has_following") & F.col("following").eqNullSafe(F.col(dir_col)))).drop("following", "has_following")
 
 
-def fixed_batches(docs: DataFrame, patch_size: int, dir_col: str = "source", order: str = "doc_id", size: str = "size") -> DataFrame:
-    """Adds batch: as many bytes of the directory come before as make so many patches."""
-    before = F.sum(size).over(Window.partitionBy(dir_col).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return docs.withColumn("batch", F.floor(F.coalesce(before, F.lit(0)) / patch_size))
+def fixed_batches(docs: DataFrame, patch_size: int, order: list[str], size: str = "size") -> DataFrame:
+    """Adds batch: files in ``order`` fill a batch until it has ``patch_size`` bytes, whatever their directory; then the count starts again."""
+    return ordered.filled_batches(docs, order, size, patch_size)
 
 
 def variable_batches(docs: DataFrame, patch_size: int, dir_col: str = "source", size: str = "size") -> DataFrame:
-    """(dir, size, batch): a batch closes at the end of the directory with which it has ``patch_size`` bytes.
-
-    The running sum starts again with each batch, so it is folded in order over one
-    row a directory; files are never gathered.
-    """
+    """(dir, bytes, batch): a batch closes at the end of the directory with which it has ``patch_size`` bytes."""
     dirs = docs.groupBy(F.col(dir_col).alias("dir")).agg(F.sum(size).alias("bytes"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("batch"), F.expr("cast(array() as array<struct<dir:string,bytes:bigint,batch:bigint>>)").alias("out"))
-
-    def step(s, d):
-        full = s["sum"] + d["bytes"] >= patch_size
-        out = F.concat(s["out"], F.array(F.struct(d["dir"].alias("dir"), d["bytes"].alias("bytes"), s["batch"].alias("batch"))))
-        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(s["sum"] + d["bytes"]).alias("sum"), (s["batch"] + full.cast("long")).alias("batch"), out.alias("out"))
-
-    ordered = dirs.agg(F.array_sort(F.collect_list(F.struct("dir", "bytes"))).alias("dirs"))
-    return ordered.select(F.explode(F.aggregate("dirs", start, step)["out"]).alias("d")).select("d.dir", "d.bytes", "d.batch")
+    return ordered.filled_batches(dirs, ["dir"], "bytes", patch_size)
 
 
 def valid(text):
