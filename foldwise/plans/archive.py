@@ -434,7 +434,7 @@ def mismatches(restored: DataFrame, reference: DataFrame) -> DataFrame:
     """
     own = restored.select("path", F.md5("content").alias("is"))
     wanted = reference.select("path", F.md5("content").alias("was"))
-    flat = ~wanted.select(F.coalesce(F.bool_or(F.col("path").contains("/")), F.lit(True))).first()[0]
+    flat = not wanted.select(F.coalesce(F.bool_or(F.col("path").contains("/")), F.lit(True))).first()[0]
     if flat:
         own = own.select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "is")
     own = own.distinct().withColumn("here", F.lit(True))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, StringType
 
 import foldwise
 from foldwise.functions import codecs, hashes, jpeg, tans
@@ -316,17 +317,17 @@ def delta_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.greedy(_pairs_with_text(spark, sf_dir)).select("t", "copies", "restored")
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def _byte_delta(base: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([codecs.delta_bytes(b.encode(), t.encode()) for b, t in zip(base, target, strict=True)])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _byte_restored(base: pd.Series, packed: pd.Series) -> pd.Series:
     return pd.Series([codecs.undelta_bytes(b.encode(), bytes(p)).decode() for b, p in zip(base, packed, strict=True)])
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def _byte_composed(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series([codecs.composed_delta(bytes(a), bytes(b)) for a, b in zip(one, two, strict=True)])
 

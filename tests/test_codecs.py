@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from foldwise.config import DedupConfig, parse_size
-from foldwise.functions import codecs, hashes
+from foldwise.functions import codecs, hashes, tans, vcdiff
 from foldwise.operators import delta
 
 blocks = st.lists(st.lists(st.integers(-1023, 1023) | st.just(0), min_size=64, max_size=64), max_size=4)
@@ -41,6 +41,68 @@ def test_byte_delta_and_adler(a, b):
     assert hashes.adler32_combine(hashes.adler32(a), hashes.adler32(b), len(b)) == hashes.adler32(a + b)
 
 
+@st.composite
+def edited(draw):
+    """A text, and two more made from it by cutting, copying, inserting and repeating."""
+    texts = [draw(st.binary(max_size=400) | st.text("ab ", max_size=400).map(str.encode))]
+    for _ in range(2):
+        own = bytearray(texts[-1])
+        for _ in range(draw(st.integers(0, 5))):
+            i, j, n = (draw(st.integers(0, len(own))) for _ in range(3))
+            kind = draw(st.sampled_from("cdir"))
+            own[i:i] = own[j : j + n] if kind == "c" else draw(st.binary(max_size=30)) if kind == "i" else bytes([n % 256]) * (n % 40) if kind == "r" else b""
+            if kind == "d":
+                del own[i : i + n]
+        texts.append(bytes(own))
+    return texts
+
+
+@given(edited())
+@settings(max_examples=200, deadline=None)
+def test_byte_deltas_restore_and_compose(texts):
+    a, b, c = texts
+    one, two = vcdiff.encode(a, b), vcdiff.encode(b, c)
+    assert vcdiff.decode(a, one) == b and vcdiff.decode(b, two) == c
+    assert vcdiff.decode(a, vcdiff.compose(one, two)) == c
+    assert codecs.undelta_bytes(a, codecs.composed_delta(codecs.delta_bytes(a, b), codecs.delta_bytes(b, c))) == c
+
+
+def test_a_match_anywhere_in_a_long_base_is_found():
+    base = random.Random(4).randbytes(300_000)
+    target = base[250_000:] + base[:120_000]
+    assert len(vcdiff.encode(base, target)) < 60
+    assert vcdiff.decode(base, vcdiff.encode(base, target)) == target
+
+
+def test_the_instruction_table_and_a_window_byte_by_byte():
+    assert len(vcdiff.TABLE) == 256 and vcdiff.TABLE[0] == (("run", 0, 0),) and vcdiff.TABLE[18] == (("add", 17, 0),)
+    assert vcdiff.TABLE[19] == (("copy", 0, 0),) and vcdiff.TABLE[163] == (("add", 1, 0), ("copy", 4, 0)) and vcdiff.TABLE[255] == (("copy", 4, 8), ("add", 1, 0))
+    # source abcdefghijklmnop: copy 16 from 0, add "xy", run of 5 z
+    assert vcdiff.pack([("copy", 0, 16), ("add", b"xy"), ("run", ord("z"), 5)], 16, None) == b"\xd6\xc3\xc4\0\0\x01\x10\x00\x0d\x17\x00\x03\x04\x01xyz\x20\x03\x00\x05\x00"
+
+
+@given(st.binary(max_size=300) | st.text("aaaaab", max_size=3000).map(str.encode))
+@settings(max_examples=100, deadline=None)
+def test_entropy_coder_round_trip(data):
+    packed, coded = codecs.entropy_code(data)
+    assert codecs.entropy_decode(packed, coded) == data and len(packed) <= len(data)
+
+
+@given(st.lists(st.integers(0, 1000), min_size=2, max_size=256).filter(lambda c: sum(x > 0 for x in c) > 1), st.integers(9, 12))
+@settings(max_examples=200, deadline=None)
+def test_scaled_counts_fill_the_table(counts, log):
+    norm = tans.scaled(np.array(counts), log)
+    assert np.abs(norm).sum() == 1 << log and ((norm != 0) == (np.array(counts) > 0)).all()
+
+
+def test_geometric_bytes_are_coded_near_their_entropy():
+    rng = random.Random(5)
+    data = bytes(min(255, int(rng.expovariate(0.2))) for _ in range(20_000))
+    share = np.bincount(np.frombuffer(data, np.uint8)) / len(data)
+    bits = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert len(tans.encode(data)) < len(data) * bits / 8 * 1.02 + 200
+
+
 def test_adler_rolls():
     data = bytes(random.Random(1).randbytes(50))
     one = hashes.adler32(data[:16])
@@ -54,6 +116,17 @@ def test_rabin_and_gear_depend_on_their_window_only():
     a, b = rng.randbytes(100), rng.randbytes(70)
     rabin = hashes.Rabin(16)
     assert (rabin.windows(a)[-1:] == rabin.windows(b + a)[-1:]).all()
+    rabin.reset()
+    assert [rabin.slide(x) for x in a][15:] == rabin.windows(a).tolist()
+    block = np.frombuffer(rng.randbytes(3 * 4 * 128), np.uint8).reshape(3, 4, 128)
+    square, found = hashes.Rabin(4 * 128), []
+    for y in range(2):
+        for x in range(3):
+            square.reset()
+            found.append([square.slide(int(v)) for c in (x, x + 1) for r in (y, y + 1) for v in block[r, c]][-1])
+    assert square.grids(block, 2).tolist() == found
+    halves = [hashes.gear(a[:64])[-1], hashes.gear(a[64:100] + b[:28])[-1]]
+    assert hashes.gear_block(a[:100] + b[:28]) == sum(map(int, halves)) % (1 << 64)
     assert hashes.gear(a)[-1] == hashes.gear(b + a)[-1]
     h = 0
     for x in a:

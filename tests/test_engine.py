@@ -121,7 +121,7 @@ def test_coefficients_round_trip(photos):
             jpeg.decode((photos / path).read_bytes())
 
 
-@pytest.mark.parametrize("config", [DedupConfig(), DedupConfig(dimension=1, chunking="f", delta="bytes"), DedupConfig(feature_method="rabin", dimension=1, block_size=64), DedupConfig(force_indexed=True, collapse_runs=True)])
+@pytest.mark.parametrize("config", [DedupConfig(), DedupConfig(dimension=1, chunking="f", delta="bytes"), DedupConfig(delta="bytes", data_type="raw"), DedupConfig(feature_method="rabin"), DedupConfig(feature_method="rabin", dimension=3, sketch=None), DedupConfig(feature_method="rabin", dimension=1, block_size=64), DedupConfig(force_indexed=True, collapse_runs=True)])
 def test_archive_round_trip(spark, photos, config, tmp_path):
     files = archive.scan(spark, str(photos), config)
     packed, originals = archive.compress(files, config)
@@ -129,11 +129,83 @@ def test_archive_round_trip(spark, photos, config, tmp_path):
     assert packed.count() >= 4
     assert {r["path"].rsplit("/", 1)[1]: r["reason"] for r in originals.collect() if r["reason"] == "undecodable"} == {"tiny.jpg": "undecodable", "bad.jpg": "undecodable"}
     assert archive.mismatches(archive.restore(packed, originals), files).count() == 0
-    row = archive.metrics(files, packed, originals).first()
-    assert row["ratio"] > 1
-    if config.delta == "blocks":
-        archive.write_archives(packed, str(tmp_path / "idp"))
-        assert archive.mismatches(archive.restore(archive.read_archives(spark, str(tmp_path / "idp")), originals), files).count() == 0
+    row = archive.metrics(files, packed, originals).where("batch is null").first()
+    assert row["files"] == files.count() and row["raw"] == row["usable"] + row["undecodable"] and row["ratio"] > 1
+    assert row["packed"] == sum(row[c] for c in archive.PARTS) and row["detected"] < row["decoded"] and row["delta_decoded"] <= row["decoded"]
+    assert "compression ratio" in archive.report(row.asDict(), 1, {"scan": 1.0})
+    archive.write_archives(packed, str(tmp_path / "idp"))
+    again = archive.read_archives(spark, str(tmp_path / "idp"))
+    assert archive.mismatches(archive.restore(again, originals), files).count() == 0
+    if config.delta == "bytes":
+        short = archive.composed(again)
+        assert short.join(packed.select(packed["path"].alias("base")), "base").count() == 0
+        assert archive.mismatches(archive.restore(short, originals), files).count() == 0
+
+
+def test_command_line_round_trip(spark, photos, tmp_path):
+    from foldwise import __main__ as cli
+
+    for options in ({"patch_size": "1K"}, {"delta": "bytes", "chunking": "f"}):
+        packed, out = tmp_path / f"packed{len(options)}", tmp_path / f"out{len(options)}"
+        report = cli.compress(spark, str(photos), str(packed), DedupConfig.from_options(options))
+        assert "similarity" in report and (packed / "report.txt").read_text() == report
+        assert list(packed.glob("*.idp" if len(options) == 1 else "*.vcd"))
+        assert "differs" not in cli.restore(spark, str(packed), str(out), str(photos))
+        assert {p.relative_to(out): p.read_bytes() for p in out.rglob("*.jpg")} == {p.relative_to(photos): p.read_bytes() for p in photos.rglob("*.jpg")}
+        flat = tmp_path / f"flat{len(options)}"
+        flat.mkdir()
+        (flat / "0.jpg").write_bytes((photos / "a" / "0.jpg").read_bytes())
+        (flat / "new.jpg").write_bytes(b"x")
+        assert [r["path"] for r in archive.mismatches(records.files(spark, str(out)), records.files(spark, str(flat))).collect()] == ["new.jpg"]
+
+
+def test_batches_and_neighbours_over_many_parts(spark):
+    from foldwise.sources import ordered
+
+    rng = np.random.default_rng(5)
+    sizes = [None if i == 3 else int(x) for i, x in enumerate(rng.integers(0, 50, 300))]
+    rows = spark.createDataFrame([(i % 7, i, s) for i, s in enumerate(sizes)], "dir long, id long, size long")
+    for patch in (1, 60, 200, 10_000):
+        for part_rows in (7, 64, 1000):
+            held, batch, wanted = 0, 0, {}
+            for i, s in enumerate(sizes):
+                wanted[i] = batch
+                held += s or 0
+                if held >= patch:
+                    batch, held = batch + 1, 0
+            assert {r["id"]: r["batch"] for r in ordered.filled_batches(rows, ["id"], "size", patch, part_rows).collect()} == wanted
+    found = {r["id"]: (r["before"], r["has_before"]) for r in ordered.with_neighbour(rows, ["dir", "id"], "id", "before", True, 16).collect()}
+    order = sorted(range(300), key=lambda i: (i % 7, i))
+    assert found == {i: (b, b is not None) for i, b in zip(order, [None, *order], strict=False)}
+    sums = {r["id"]: r["sum"] for r in ordered.running_sum(rows.na.fill(0), ["id"], "size", "sum", 16).collect()}
+    assert sums == dict(enumerate(np.cumsum([s or 0 for s in sizes]).tolist()))
+    assert ordered.filled_batches(rows.where("false"), ["id"], "size", 5).count() == 0
+    ends = records.with_end_of_dir(rows, "dir", "id").where("end_of_dir").collect()
+    assert sorted(r["id"] for r in ends) == list(range(293, 300))
+
+
+def test_pairs_do_not_cross_batches(spark):
+    rows = spark.createDataFrame([(i, "one two three four five", "a", i // 2) for i in range(6)], "doc_id long, text string, source string, batch long")
+    best = detect.best_base(detect.candidates(sketch.exploded(sketch.sketches(rows)), within=("batch",))).collect()
+    assert sorted((r["t"], r["b"]) for r in best) == [(1, 0), (3, 2), (5, 4)]
+
+
+def test_positions_beyond_16_bits(spark):
+    text = "x\n" * 70_000 + "one two three four"
+    slots = sketch.exploded(sketch.sketches(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert {r["pos"] for r in slots} == {70_000 << 32}
+
+
+def test_tumbling_counts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{DATA}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    events.coalesce(1).write.parquet(str(tmp_path / "events"))
+    counts = stream.tumbling_counts(stream.watch(spark, str(tmp_path / "events"), "ts timestamp, event_type string, value double"))
+    query = counts.writeStream.format("memory").queryName("tumbling").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    wanted = {(r["hour"], r["event_type"], r["n"]) for r in queries.stream_batches(spark, DATA).collect()}
+    assert {(int(r["start"].timestamp()) // 3600, r["event_type"], r["n"]) for r in spark.table("tumbling").collect()} == wanted
 
 
 def test_stream_chooses_the_same_bases(spark, tmp_path):
