@@ -18,7 +18,8 @@ from foldwise.llm.base import SPACED, frozen, rolling, slices, splitmix, word_ha
 HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
 #: A group of candidates with more members is verified in tiles, its members' sets at hand.
 SMALL_GROUP = 48
-TILE = 512
+#: Members and bytes of sets of one side of a tile.
+TILE, TILE_BYTES = 512, 16 << 20
 #: Members of a large group that all its members are compared with first.
 PIVOTS = 16
 
@@ -235,11 +236,14 @@ def _large_group_links(members: DataFrame, least: dict[int, int], percent: int)
     """Links (a, b) within large groups; ``members`` has leader, node, n, sig and set.
 
     First every member meets the at most PIVOTS pivots of its group, in parts of
-    about TILE members: work and rows grow with the members, and all that reach the
+    about TILE members or TILE_BYTES of sets: work and rows grow with the members, and all that reach the
     group's core are done. Only the loose ones are then compared, with each other
-    and with the settled ones, in tiles of about TILE members a side.
+    and with the settled ones, in tiles of as much a side.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
+    # many members or few with very large sets: a side is bounded by both
+    heavy = members.groupBy("leader").agg(F.sum(F.length("set")).alias("bytes"))
+    members = members.join(frozen(heavy, "near-bytes"), "leader")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
     pivots = members.groupBy("leader", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("k")).agg(F.min("node").alias("node")).select("leader", "node", F.lit(True).alias("pivot"))
     rows = members.join(pivots, ["leader", "node"], "left").withColumns({"parts": parts, "pivot": F.coalesce("pivot", F.lit(False))})
     rows = rows.withColumn("part", F.explode(F.when(F.col("pivot"), _upto("parts")).otherwise(F.array(_part("parts")))))
@@ -252,9 +256,11 @@ def _large_group_links(members: DataFrame, least: dict[int, int], percent: int)
 
     met = frozen(rows.select("leader", "part", "node", "pivot", "sig", "set").groupBy("leader", "part").applyInArrow(meet, "leader long, a long, b long"), "near-met")
     loose = frozen(met.where("b is null").select("leader", F.col("a").alias("node")).distinct(), "near-loose")
-    counts = frozen(loose.groupBy("leader").agg(F.count("*").alias("n_loose")), "near-loose-groups")
+    weights = members.select("leader", "node", F.length("set").alias("size")).join(loose, ["leader", "node"])
+    counts = frozen(weights.groupBy("leader").agg(F.count("*").alias("n_loose"), F.sum("size").alias("loose_bytes")), "near-loose-groups")
     rows = members.join(counts, "leader").join(loose.withColumn("loose", F.lit(True)), ["leader", "node"], "left").withColumn("loose", F.coalesce("loose", F.lit(False)))
-    rows = rows.withColumns({"across": F.ceil(F.col("n_loose") / TILE).cast("int"), "down": F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("n_loose")) / TILE)).cast("int")})
+    sides = lambda n, size: F.greatest(F.lit(1), F.ceil(n / TILE), F.ceil(size / TILE_BYTES)).cast("int")
+    rows = rows.withColumns({"across": sides(F.col("n_loose"), F.col("loose_bytes")), "down": sides(F.col("n") - F.col("n_loose"), F.col("bytes") - F.col("loose_bytes"))})
     rows = rows.withColumn("own", F.when(F.col("loose"), _part("across")).otherwise(_part("down")))
     # a tile is (loose part, loose part, true) or (loose part, settled part, false)
     tile = lambda i, j, among: F.struct(i.alias("i"), j.alias("j"), F.lit(among).alias("among"))
@@ -299,13 +305,13 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float = 1e-5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, miss: float = 1e-5) -> DataFrame:
     """Per document: doc_id, text_hash, n_shingles, component_id, kept.
 
     A document's set is its distinct ``k``-word shingles (A-Z as a-z). Documents
     with equal sets form a class; only classes are compared. Classes that share a
     band of their MinHash signatures are candidates: 25 bands of 5 values miss a
-    pair at 0.85 with a probability of 4e-7. A candidate pair's signatures are
+    pair at 0.8 with a probability of 5e-5, at 0.85 with 4e-7. A candidate pair's signatures are
     compared in batches of 32; it is dropped once the posterior probability that
     it is similar enough falls under ``miss``. Survivors are confirmed on full sets:
     100 * intersection >= percent * union.
@@ -320,7 +326,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float
     component_id is the least doc_id of the component; kept is doc_id <=>
     component_id. Null and empty texts have no set: each is its own component.
     A null doc_id counts as the greatest; rows equal in doc_id and text share one
-    result; an empty table gives an empty result; other columns are ignored.
+    result; a very long text is one row, and tiles are bounded by the bytes of their
+    sets; an empty table gives an empty result; other columns are ignored.
     """
     least = least_matches(percent / 100, miss)
     every = frozen(_prepared(docs, k), "near-docs")

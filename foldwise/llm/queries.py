@@ -65,7 +65,7 @@ def op9_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return neardup.near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP1_SQL = r"""

@@ -282,12 +282,16 @@ def near(rows, k=5, percent=85):
 
 def test_near_duplicates_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark)]
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
     assert found == near(rows)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == near(rows, percent=80)
 
 
-def test_one_large_group_of_near_copies(spark):
+def test_one_large_group_of_near_copies(spark, monkeypatch):
     """Copies with up to nine edits of one text: many pairs lie at the threshold, and the group needs several tiles."""
+    # sides bounded by bytes before members
+    monkeypatch.setattr(neardup, "TILE_BYTES", 200_000)
     rng = random.Random(11)
     start = [f"w{rng.randrange(5000)}" for _ in range(120)]
     rows = []
@@ -297,7 +301,7 @@ def test_one_large_group_of_near_copies(spark):
             own[rng.randrange(120)] = f"n{rng.randrange(30)}"
         rows.append((1000 - i, " ".join(own)))
     rows += [(2000 + i, " ".join(start)) for i in range(300)]
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent=85).collect()}
     assert found == near(rows)
 
 
@@ -335,7 +339,7 @@ def test_chain_of_near_copies(spark):
     for i in range(40):
         own[5 * i] = f"new{i}"
         rows.append((500 - i, " ".join(own)))
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
     assert found == near(rows) and len({c for _, c in found.values()}) == 1
 
 
