@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from foldwise.llm.base import frozen, slices, splitmix
+from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, word_spans
 
-#: Bytes that decide on a boundary, its odds (one in 2**5), least and most bytes of a chunk.
-WINDOW, MASK_BITS, LEAST, MOST = 16, 5, 12, 256
-#: Least bytes of touching repeated chunks that count as a repeated passage.
-RUN_BYTES = 128
+#: Bytes that decide on a boundary, its odds (one in 2**5), least and most bytes of a chunk, and bytes between cuts where nothing marks one.
+WINDOW, MASK_BITS, LEAST, MOST, APART = 16, 5, 12, 256, 64
+#: A repeated stretch counts as a passage from so many whole words or so many bytes on.
+RUN_WORDS, RUN_BYTES = 45, 512
+#: How far a repeated stretch is followed beyond its whole chunks: the lengths of text on either side that are compared, by 16 bits each.
+STEPS = np.array([*range(8, 65, 8), *range(80, 129, 16), *range(160, 257, 32)])
+#: Most bits of the broadcast filter of repeated digests.
+FILTER_BITS = 1 << 24
 
 _GEAR = (splitmix(0x6EA2, 256) >> np.uint64(32)).astype(np.uint32)
+_VALUES = splitmix(0x5EED2, 256)
+_BASE = 0xA24BAED4963EE407 | 1
 
 
 def gear(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -40,15 +46,39 @@ def gear(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return spread[places]
 
 
+def _unmarked(hashes: np.ndarray, begin: int, end: int) -> list[int]:
+    """Cuts within a stretch that has no marks: where its least hash stands, again in what stays too long, APART bytes apart.
+
+    The least hash depends on the text alone, so a stretch of repetitions is cut at
+    the same places of its period wherever it begins.
+    """
+    out, left = [], [(begin, end, 8)]
+    while left:
+        b, e, rounds = left.pop()
+        inner = hashes[b + LEAST - 1 : e - LEAST]
+        cuts, last = [], b
+        if rounds:
+            for at in (np.flatnonzero(inner == inner.min()) + b + LEAST).tolist():
+                if at - last >= APART or last == b:
+                    cuts.append(at)
+                    last = at
+        else:
+            cuts = list(range(b + MOST, e, MOST))
+        out += cuts
+        left += [(x, y, rounds - 1) for x, y in zip([b, *cuts], [*cuts, e], strict=True) if y - x > MOST and rounds]
+    return out
+
+
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of all chunks of all rows; every byte is in one chunk.
 
     A chunk ends where the hash's top bits are zero, unless that is under LEAST
-    bytes behind the end before it; longer stretches are cut every MOST bytes.
+    bytes behind the end before it; longer stretches are cut by their least hash.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    marks = np.flatnonzero(gear(data, offsets) >> np.uint32(32 - MASK_BITS) == 0) + 1
+    hashes = gear(data, offsets)
+    marks = np.flatnonzero(hashes >> np.uint32(32 - MASK_BITS) == 0) + 1
     bounds = np.unique(np.concatenate([offsets, marks]))
     fixed, kept = np.isin(bounds, offsets), np.ones(len(bounds), dtype=bool)
     for i in (np.flatnonzero(np.diff(bounds) < LEAST) + 1).tolist():
@@ -57,14 +87,15 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
             before -= 1
         kept[i] = bool(fixed[i]) or bounds[i] - bounds[before] >= LEAST
     bounds = bounds[kept]
-    pieces = -(-np.diff(bounds) // MOST)
-    step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = np.repeat(bounds[:-1], pieces) + step * MOST
-    return starts, np.append(starts[1:], bounds[-1])
+    long = np.flatnonzero(np.diff(bounds) > MOST)
+    if len(long):
+        more = [x for i in long.tolist() for x in _unmarked(hashes, int(bounds[i]), int(bounds[i + 1]))]
+        bounds = np.unique(np.concatenate([bounds, np.array(more, np.int64)]))
+    return bounds[:-1], bounds[1:]
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, the digests of its chunks and their ends."""
+    """Per document: doc_id, text, n_bytes, the digests of its chunks and their ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
@@ -75,79 +106,208 @@ def _chunked(docs: DataFrame) -> DataFrame:
             within = (ends - np.repeat(offsets[:-1], np.diff(first))).astype(np.int32)
             lists = pa.array(first, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(lists, pa.array(digests)), pa.ListArray.from_arrays(lists, pa.array(within))],
-                names=["doc_id", "n_bytes", "digests", "ends"],
+                [batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(lists, pa.array(digests)), pa.ListArray.from_arrays(lists, pa.array(within))],
+                names=["doc_id", "text", "n_bytes", "digests", "ends"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, digests array<long>, ends array<int>")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, n_bytes long, digests array<long>, ends array<int>")
+
+
+def _filter_of(digests: DataFrame) -> np.ndarray:
+    """A bit for each digest modulo FILTER_BITS: what it passes holds all of them, and hardly more while they are few."""
+    spot = F.pmod(F.col("digest"), F.lit(FILTER_BITS))
+    words = digests.groupBy(F.floor(spot / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("bits"))
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    for batch in words.toArrow().to_batches():
+        table[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return table
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        both = [np.full(n, base, np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for x in both:
+            x[:1] = 1
+        return np.cumprod(both[0], dtype=np.uint64), np.cumprod(both[1], dtype=np.uint64)
+
+
+def _ladders(data: np.ndarray, offsets: np.ndarray, edges: np.ndarray, rows: np.ndarray, side: int, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(16-bit hashes, lengths, whole words) of the text before (side -1) or behind (1) each edge, for all STEPS, within its row."""
+    _, inverses = _power_cache(len(data) + 1)
+    sums = _sums_cache(data)
+    reach = np.where(side < 0, np.minimum(STEPS[None, :], (edges - offsets[rows])[:, None]), np.minimum(STEPS[None, :], (offsets[rows + 1] - edges)[:, None]))
+    a = edges[:, None] - (reach if side < 0 else 0)
+    b = edges[:, None] + (0 if side < 0 else reach)
+    with np.errstate(over="ignore"):
+        hashes = mixed((sums[b] - sums[a]) * inverses[a] + reach.astype(np.uint64))
+    return (hashes >> np.uint64(48)).astype(np.uint16), reach.astype(np.uint16), (opens[b] - opens[a]).astype(np.uint8)
+
+
+_cache: dict = {}
+
+
+def _power_cache(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if "powers" not in _cache or len(_cache["powers"][0]) < n:
+        _cache["powers"] = _powers(max(n, (2 << 20) + 1))
+    return _cache["powers"]
+
+
+def _sums_cache(data: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes' values times powers, so that a stretch's hash is a difference."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[data] * _power_cache(len(data) + 1)[0][: len(data)], dtype=np.uint64)])
+
 
+def _places(chunked: DataFrame, repeated: DataFrame, kind: str) -> DataFrame:
+    """A row for each chunk that may be repeated: its digest, document, row, place, whole words, and ladders on both sides."""
+    schema = f"digest long, own {kind}, row long, begin int, `end` int, words int, before binary, behind binary, before_sizes binary, behind_sizes binary"
+    known = chunked.sparkSession.sparkContext.broadcast(_filter_of(repeated))
+    names = "digest own row begin end words before behind before_sizes behind_sizes".split()
 
-def _joined(begin: np.ndarray, end: np.ndarray, run_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Touching spans joined, the short ones left out: (begins, ends, for each span whether it is in one)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches):
+            lists, ends = batch.column(2), batch.column(3)
+            digests = lists.flatten().to_numpy()
+            counts = lists.value_lengths().to_numpy()
+            own = np.repeat(np.arange(batch.num_rows), counts)
+            stops = ends.flatten().to_numpy().astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+            starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
+            starts[first[counts > 0]] = 0
+            at = digests.astype(np.int64) % FILTER_BITS
+            may = (known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            own, starts, stops, digests = own[may], starts[may], stops[may], digests[may]
+            if not len(own):
+                continue
+            # opens[i]: words that begin before byte i; one that a stretch cuts short at its end counts there
+            opens = np.zeros(len(data) + 1, np.int64)
+            begins, _, _ = word_spans(data, offsets, SPACED)
+            opens[begins + 1] = 1
+            opens = np.cumsum(opens)
+            begin, end = offsets[own] + starts, offsets[own] + stops
+            left = _ladders(data, offsets, begin, own, -1, opens)
+            right = _ladders(data, offsets, end, own, 1, opens)
+            rows = batch.column(0).to_numpy()[own]
+            sizes = lambda x: packed(np.concatenate([x[1].view(np.uint8).reshape(len(own), -1), x[2]], axis=1))  # noqa: B023, E731
+            packed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(digests), batch.column(1).take(pa.array(own)), pa.array(rows), pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32)),
+                    pa.array((opens[end] - opens[begin]).astype(np.int32)), packed(left[0]), packed(right[0]), sizes(left), sizes(right),
+                ],
+                names=names,
+            )
+
+    return chunked.select("row", "doc_id", "digests", "ends", "text").mapInArrow(run, schema)
+
+
+def _reach(own: pd.Series, one: pd.Series, two: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    """How far a place's text agrees with that of either other place, as bytes and words of its own text."""
+    n, k = len(own), len(STEPS)
+    mine = np.frombuffer(b"".join(own), np.uint16).reshape(n, k)
+    best = np.zeros(n, np.int64)
+    for other in (one, two):
+        here = other.notna().to_numpy()
+        same = np.zeros((n, k), bool)
+        if here.any():
+            same[here] = mine[here] == np.frombuffer(b"".join(other[here]), np.uint16).reshape(-1, k)
+        best = np.maximum(best, np.cumprod(same, axis=1).sum(axis=1))
+    table = np.frombuffer(b"".join(sizes), np.uint8).reshape(n, 3 * k)
+    lengths, words = np.ascontiguousarray(table[:, : 2 * k]).view(np.uint16), table[:, 2 * k :]
+    at = np.maximum(best - 1, 0)
+    pick = lambda x: np.where(best > 0, x[np.arange(n), at], 0).astype(np.int32)
+    return pd.DataFrame({"bytes": pick(lengths), "words": pick(words)})
+
+
+def _joined(begin, end, words, left, right, run_words: int, run_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Touching chunks joined and followed on both sides, the short stretches left out: (begins, ends, for each chunk whether it is in one)."""
     opens = np.concatenate([[True], begin[1:] != end[:-1]])
+    closes = np.concatenate([opens[1:], [True]])
     at = np.cumsum(opens) - 1
-    b, e = begin[opens], end[np.concatenate([opens[1:], [True]])]
-    long = e - b >= run_bytes
-    return b[long], e[long], long[at]
+    b, e = begin[opens] - left[0][opens], end[closes] + right[0][closes]
+    count = np.bincount(at, words) + left[1][opens] + right[1][closes]
+    long = (count >= run_words) | (e - b >= run_bytes)
+    inside = long[at]
+    b, e = b[long], e[long]
+    # followed stretches may run into each other
+    keep = np.concatenate([[True], b[1:] > np.maximum.accumulate(e)[:-1]]) if len(b) else np.zeros(0, bool)
+    return b[keep], np.maximum.reduceat(e, np.flatnonzero(keep)) if len(b) else e, inside
 
 
-def _passages(rows: DataFrame, run_bytes: int) -> DataFrame:
+def _passages(rows: DataFrame, kind: str, run_words: int, run_bytes: int) -> DataFrame:
     """(row, n_repeated, repeat_bytes, first_ids, spans) from each row's repeated chunks."""
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_repeated", "repeat_bytes", "first_ids", "spans")}
-            lists = batch.column(2)
-            first = lists.offsets.to_numpy()
-            begin, end, owner, digest = (lists.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            for i, own in enumerate(batch.column(1).to_pylist()):
+            lists = batch.column(1)
+            values, first = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            begin, end, words, *reach = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7))
+            later, owner = values.field(7).to_numpy(zero_copy_only=False).astype(bool), values.field(8)
+            for i in range(batch.num_rows):
                 at = np.arange(first[i], first[i + 1])
                 at = at[np.argsort(begin[at], kind="stable")]
-                b, e, o = begin[at], end[at], owner[at]
-                fresh = np.zeros(len(at), dtype=bool)
-                fresh[np.unique(digest[at], return_index=True)[1]] = True
-                later = (o != own) | ~fresh
-                rb, re, _ = _joined(b, e, run_bytes)
-                lb, le, inside = _joined(b[later], e[later], run_bytes) if later.any() else (b[:0], e[:0], np.zeros(0, bool))
+
+                def stretches(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    if not len(at):
+                        return at, at, np.zeros(0, bool)
+                    left, right = [x[at] for x in reach[:2]], [x[at] for x in reach[2:]]
+                    return _joined(begin[at], end[at], words[at], left, right, run_words, run_bytes)
+
+                rb, re, _ = stretches(at)
+                late = at[later[at]]
+                lb, le, inside = stretches(late)
                 out["n_repeated"].append(len(at))
                 out["repeat_bytes"].append(int((re - rb).sum()))
-                out["first_ids"].append(np.unique(o[later][inside]).tolist())
+                out["first_ids"].append(owner.take(pa.array(late[inside], pa.int64())).unique().drop_null().sort() if inside.any() else pa.array([], owner.type))
                 out["spans"].append([{"begin": x, "end": y} for x, y in zip(lb.tolist(), le.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out["n_repeated"], pa.int64()), pa.array(out["repeat_bytes"], pa.int64()), pa.array(out["first_ids"], pa.list_(pa.int64())), pa.array(out["spans"], span)],
-                names=["row", *out],
-            )
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out["first_ids"]])]), pa.int32()), pa.concat_arrays([pa.array([], owner.type), *out["first_ids"]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n_repeated"], pa.int64()), pa.array(out["repeat_bytes"], pa.int64()), ids, pa.array(out["spans"], span)], names=["row", *out])
 
-    return rows.mapInArrow(run, "row long, n_repeated long, repeat_bytes long, first_ids array<long>, spans array<struct<begin:long,end:long>>")
+    return rows.mapInArrow(run, f"row long, n_repeated long, repeat_bytes long, first_ids array<{kind}>, spans array<struct<begin:long,end:long>>")
 
 
-def repeats(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, run_words: int = RUN_WORDS, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_chunks, n_repeated, repeat_bytes, dup_bytes, kept_bytes, first_ids, spans.
 
     A text's UTF-8 bytes are cut where a gear hash of the last 16 bytes has five
     zero bits (chunks of 12 to 256 bytes, 40 on average), so an insertion moves only
     the chunks it touches. A chunk is repeated if its digest occurs again anywhere;
     the document with the least doc_id that holds it keeps it (its first place
-    there), every other place is a later one. Touching repeated chunks make a
-    passage if they have ``run_bytes``: repeat_bytes counts all passages, dup_bytes
-    those of later places; ``spans`` are the latter's byte ranges and ``first_ids`` the
-    documents that keep them.
-
-    Digests are counted by partial sums and joined by a shuffle that splits hot
-    ones; lists are per document. Null and empty texts have no chunks; rows of one
-    doc_id count as one document, and null ids as one that comes last, so what such
-    rows share goes from none of them; other columns are ignored.
+    there), every other place is a later one.
+
+    Touching repeated chunks make a stretch. At both ends it is followed into the
+    neighbouring chunks, in steps of 8 bytes at first, as long as the text agrees
+    with that at the chunk's first or last place anywhere. It is a passage if it
+    then has ``run_words`` whole words or ``run_bytes`` bytes: one of 50 words or more is
+    found if one whole chunk lies in it. repeat_bytes counts all passages,
+    dup_bytes those of later places; ``spans`` are the latter's byte ranges and
+    ``first_ids`` the documents that keep their chunks.
+
+    Digests are counted by partial sums. Only chunks that a filter of the repeated
+    ones passes (2 MB at most; with very many digests it passes all) leave their
+    document, and a join that splits hot digests decides. Lists are per document.
+    Null and empty texts have no chunks; a very long text is one row; ids are of any
+    type that has an order; rows of one doc_id count as one document, and null ids
+    as one that comes last, so what such rows share goes from none of them; an empty
+    table gives an empty result; other columns are ignored, whatever their names.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
     chunked = frozen(_chunked(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    chunks = chunked.select("row", own.alias("own"), "ends", F.posexplode("digests").alias("k", "digest"))
-    begin = F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0)
-    chunks = chunks.select("row", "own", "digest", begin.alias("begin"), F.get("ends", F.col("k")).alias("end"))
-    owners = frozen(chunks.groupBy("digest").agg(F.min("own").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner"), "chunk-owners")
-    again = chunks.join(owners, "digest").groupBy("row", "own").agg(F.collect_list(F.struct("begin", "end", "owner", "digest")).alias("spans"))
-    found = _passages(again, run_bytes)
+    repeated = frozen(chunked.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "chunk-digests")
+    places = frozen(_places(chunked, repeated, kind), "chunk-places")
+    place = F.struct(F.col("own").isNull().alias("nameless"), "own", "row", "begin", "before", "behind")
+    ends = places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = places.join(frozen(ends, "chunk-ends"), "digest")
+    is_ = lambda end: (F.col("row") == F.col(f"{end}.row")) & (F.col("begin") == F.col(f"{end}.begin"))
+    reach = pandas_udf(_reach, "struct<bytes:int,words:int>")
+    seen = lambda side: reach(side, *[F.when(~is_(e), F.col(f"{e}.{side}")) for e in ("first", "last")], f"{side}_sizes")
+    later = ~F.col("own").eqNullSafe(F.col("first.own")) | ((F.col("row") == F.col("first.row")) & (F.col("begin") != F.col("first.begin")))
+    again = again.select("row", "begin", "end", "words", later.alias("later"), F.col("first.own").alias("owner"), seen("before").alias("l"), seen("behind").alias("r"))
+    chunk = F.struct("begin", "end", "words", "l.bytes", "l.words", "r.bytes", "r.words", "later", "owner")
+    found = _passages(again.groupBy("row").agg(F.collect_list(chunk).alias("chunks")), kind, run_words, run_bytes)
     sized = chunked.select("row", "doc_id", "n_bytes", F.size("digests").cast("long").alias("n_chunks"))
     out = sized.join(found, "row", "left")
     zero = F.lit(0).cast("long")
@@ -155,14 +315,15 @@ def repeats(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     gone = F.aggregate("spans", zero, lambda s, x: s + x["end"] - x["begin"])
     return out.select(
         "doc_id", "n_bytes", "n_chunks", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce("repeat_bytes", zero).alias("repeat_bytes"),
-        gone.alias("dup_bytes"), (F.col("n_bytes") - gone).alias("kept_bytes"), F.coalesce("first_ids", F.expr("cast(array() as array<bigint>)")).alias("first_ids"), "spans",
+        gone.alias("dup_bytes"), (F.col("n_bytes") - gone).alias("kept_bytes"), F.coalesce("first_ids", F.expr(f"cast(array() as array<{kind}>)")).alias("first_ids"), "spans",
     )
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the later places of repeated passages cut out of the text, other columns unchanged.
 
-    Rows with one doc_id and different texts are left as they are.
+    Rows with one doc_id and different texts are left as they are, null and empty
+    texts too; an empty table gives an empty result.
     """
     found = repeats(docs, **options).where("dup_bytes > 0").groupBy("doc_id").agg(F.collect_set("spans").alias("all")).where(F.size("all") == 1)
     found = frozen(found.select(F.col("doc_id").alias("__id"), F.element_at("all", 1).alias("__spans")), "chunk-spans")

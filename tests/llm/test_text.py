@@ -47,7 +47,7 @@ def test_chunks_resist_shifts():
     for own in (text, text[:7000] + b"inserted" + text[7000:]):
         starts, ends = substring.cut_points(np.frombuffer(own, np.uint8), np.array([0, len(own)]))
         assert starts[0] == 0 and ends[-1] == len(own) and (starts[1:] == ends[:-1]).all()
-        assert (ends - starts).max() <= substring.MOST and 25 < (ends - starts).mean() < 60
+        assert (ends - starts).max() <= substring.MOST and (ends - starts).min() > 0 and 25 < (ends - starts).mean() < 60
         cuts.append({own[b:e] for b, e in zip(starts, ends, strict=True)})
     assert len(cuts[0] - cuts[1]) <= 4
 
@@ -68,12 +68,56 @@ def test_repeated_passages_are_found_and_cut(spark):
     found = {r["doc_id"]: r for r in substring.repeats(docs).collect()}
     assert all((found[i]["repeat_bytes"] > 0) == (i < 60) for i in range(120))
     assert all((found[i]["dup_bytes"] > 0) == (20 <= i < 60) for i in range(120))
+    texts = {i: t.encode() for i, t in rows}
+    for i in range(20, 60):
+        (span,) = found[i]["spans"]
+        cut, whole = texts[i][span["begin"] : span["end"]], passages[i % 20].encode()
+        assert cut.strip() in whole and len(whole) - len(cut) <= 2 * 32
     assert all(found[i]["first_ids"] == [i % 20] for i in range(20, 60))
     cut = {r["doc_id"]: r["text"] for r in substring.deduplicated(docs).collect()}
     assert all(len(cut[i].encode()) == found[i]["kept_bytes"] for i in cut)
     assert all(cut[i] == t for i, t in rows if not 20 <= i < 60)
 
 
+def longest_common(a, b):
+    """Words of the longest word sequence that stands in both."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, *row)
+    return best
+
+
+def test_repeated_passages_against_brute_force(spark):
+    """Passages of 20 to 80 words, some of them copied into others: found from 50 words on, left alone under 40."""
+    rng = random.Random(12)
+    kinds = {"letters": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))), "few": lambda: rng.choice(["der", "die", "das", "und", "größe", "weiß", "haus"]) + rng.choice("abcdefghij") + rng.choice("0123456789"), "beyond": lambda: "".join(rng.choice("éüñ日本語") for _ in range(rng.randint(1, 4)))}
+    fresh = lambda n, kind: " ".join(kinds[kind]() for _ in range(n))
+    rows = []
+    for i in range(80):
+        kind = list(kinds)[i % 3]
+        passage = fresh(rng.choice([20, 35, 51, 51, 52, 60, 80]), kind)
+        for _ in range(2 + (i % 5 == 0)):
+            rows.append((f"d{len(rows):04d}", f"{fresh(rng.randint(0, 60), kind)} {passage} {fresh(rng.randint(0, 60), kind)}".strip()))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    found = {r["doc_id"]: r for r in substring.repeats(docs).collect()}
+    split = {i: t.split(" ") for i, t in rows}
+    near = {i: [j for j in split if j != i and len(set(split[i]) & set(split[j])) >= 10] for i in split}
+    for i, own in split.items():
+        most = max((longest_common(own, split[j]) for j in near[i]), default=0)
+        assert not (most >= 51 and found[i]["repeat_bytes"] == 0) and not (most < 40 and found[i]["repeat_bytes"] > 0), (most, found[i])
+    least = {i: min((j for j in near[i] if longest_common(split[i], split[j]) >= 51), default=None) for i in split}
+    assert all((found[i]["dup_bytes"] > 0) == (least[i] < i) for i in split if least[i])
+
+
+def test_stretches_without_marks_are_cut_alike_wherever_they_begin(spark):
+    block = "0123456789abcdefghij" * 100
+    rows = [(i, "x" * (7 * i) + " " + block[i:] + " end") for i in range(3)]
+    found = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["repeat_bytes"] > 1700 for r in found)
+
+
 def test_chunks_of_odd_rows(odd, none):
     rows = substring.repeats(odd).collect()
     assert len(rows) == odd.count()
