@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm.base import SPACED, mixed, slices, word_hashes, word_spans
 
-#: Most labelled documents that are learnt from.
-TRAINING_DOCUMENTS = 4000
+#: Most labelled documents that are learnt from, and most lines of all of them (180 bytes a line on the driver).
+TRAINING_DOCUMENTS, TRAINING_LINES = 4000, 400_000
 
 _codes = np.arange(256)
 _LINE = _codes != 10
@@ -162,11 +162,20 @@ def held_out(doc_id="doc_id", folds: int = 5):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, documents: int = TRAINING_DOCUMENTS) -> dict:
-    """A model from at most ``documents`` labelled documents of the training folds, chosen by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, documents: int = TRAINING_DOCUMENTS, lines: int = TRAINING_LINES) -> dict:
+    """A model from at most ``documents`` labelled documents of the training folds, chosen by a hash of doc_id.
+
+    In that order they are taken up to ``lines`` lines in all, so the sample that comes
+    to the driver is bounded whatever the length of a document.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     # the join's small side has at most ``documents`` rows of two numbers
+    counted = docs.select("doc_id", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\n]+")) + 1).alias("lines")).join(F.broadcast(chosen), "doc_id")
+    counted = counted.groupBy("doc_id", "quality").agg(F.max("lines").alias("lines"))
+    # a window over at most ``documents`` rows
+    running = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = counted.withColumn("sum", running).where(F.col("sum") <= lines).select("doc_id", "quality")
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,23 +203,23 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAINING_DOCUMENT
     return fit(np.concatenate(x), lengths, np.concatenate([[0], np.cumsum([len(a) for a in x])]), good)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, documents: int = TRAINING_DOCUMENTS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, documents: int = TRAINING_DOCUMENTS, lines: int = TRAINING_LINES) -> DataFrame:
     """``docs`` (doc_id, text, ...) with held_out, score (0 to 1) and predicted (score >= threshold).
 
     Every non-empty line gets features from its characters, its words, its
     repetition within the document and the lines around it. A linear-chain CRF
     labels the lines; it is learnt from ``labels.quality`` (1 good, 0 bad) of the
-    training folds, from at most ``documents`` documents: good documents have only
+    training folds, from at most ``documents`` documents and ``lines`` lines: good documents have only
     good lines, bad ones at least one bad line. A document's quality is the mean of
     its lines' forward-backward marginals weighted by line length, mapped by a
     monotone logistic curve to the chance of label 1. Only text enters a score.
 
-    Null and empty texts are scored as one empty line; equal texts have equal
-    scores; a null doc_id counts as held out; without labels of both kinds every
+    Null and empty texts are scored as one empty line; a very long text is scored
+    whole; equal texts have equal scores, rows appear as often as they came; a null doc_id counts as held out; without labels of both kinds every
     score is the same; an empty table gives an empty result; input columns with
     added names are replaced.
     """
-    model = train(docs, labels, documents)
+    model = train(docs, labels, documents, lines)
     keep = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     rows = docs.select(*keep, held_out().alias("held_out"))
 
@@ -225,7 +234,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, documen
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rejected ones, their own columns unchanged."""
+    """``docs`` without the rejected ones, their own columns unchanged; see :func:`classify` for nulls, empty and repeated rows."""
     columns = docs.columns
     rest = F.struct(F.lit(0).alias("__none"), *[c for c in columns if c not in ("doc_id", "text")]).alias("__row")
     scored = classify(docs.select("doc_id", "text", rest), labels, **options)
