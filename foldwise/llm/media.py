@@ -375,7 +375,12 @@ def padded(data: bytes) -> bytes:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, ...) with n_bytes and media instead of text. Null text counts as empty; clashing columns are replaced."""
+    """``docs`` (text, ...) with n_bytes and media instead of text.
+
+    Null and empty texts are stored as 64 zero bytes; a very long text is one image;
+    equal texts have equal media, rows appear as often as they came; an empty table
+    gives an empty result; columns named n_bytes or media are replaced.
+    """
     keep = [c for c in docs.columns if c not in ("text", "n_bytes", "media")]
     rows = docs.select(*keep, "text")
 
@@ -395,6 +400,9 @@ def decoded(media: DataFrame, tensors: bool = True) -> DataFrame:
     media_sha256, feature (size, mean colour in thousandths and CRC of the tensor), error
     and, with ``tensors``, rgb (height * width * 3 bytes). Undecodable or null media
     have an error and nulls. Images without a stored payload have null payload columns.
+    Equal media have equal results, rows appear as often as they came; an image of
+    any size is one row; an empty table gives an empty result; columns with the
+    added names are replaced.
     """
     added = "height int, width int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     names = [x.split(" ")[0] for x in added.split(", ")] + ["rgb"] * tensors

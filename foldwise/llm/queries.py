@@ -30,14 +30,16 @@ def op3_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
     stored = media.to_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return media.decoded(stored, tensors=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    tensors = media.decoded(stored)
+    return tensors.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb")
 
 
 def op5_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
     text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharding.shard(rows, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    sharded = sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return sharded.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_union_free_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def shard(rows: DataFrame, shards: int = 8, seed: int = 11, cell_rows: int = CEL
     again, which fixes their slots. Shards differ by one row at most.
 
     The driver holds one number per input partition and one per cell, never rows.
-    Copies and equal rows are rows like any other, nulls and empty texts too; an
+    Copies and equal rows are rows like any other, nulls, empty and very long texts too; an
     empty table gives an empty result; columns named shard or slot are replaced.
     The same table, partitioned the same way, gives the same result.
     """
