@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -15,38 +16,63 @@ from pyspark.sql import functions as F
 
 #: Most bytes of all wrappers that are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
-#: Distinct pages that must agree on a text before it counts as the host's own; least words of a text that tells pages apart.
-SUPPORT, TELLING_WORDS = 3, 8
+#: Distinct pages that must agree on a text before it counts as the host's own, outside and inside articles; least words of a text that tells pages apart.
+SUPPORT, MAIN_SUPPORT, TELLING_WORDS = 3, 5, 8
+#: Inside an article the host's own blocks go only while they are at most one part in so many of its text.
+MAIN_SHARE = 5
 #: Hosts that a task holds before it hands on their wrappers; elements nested deeper than DEPTH are seen as their ancestor's.
 HOSTS, DEPTH, SALTS = 5000, 100, 32
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*>", re.S)
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe object svg math canvas select".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style noscript template textarea iframe".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msup msub msqrt svg text tspan g object canvas".split()
+)
 CONTAINERS = set("div section article main header footer aside nav table tbody td ul ol body *".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that end an open one of the same kind.
 TURNS = {"li": "item", "dt": "term", "dd": "term", "tr": "row", "td": "cell", "th": "cell", "option": "option"}
 MAIN = {"article", "main"}
-#: Elements, and words of classes, ids and roles, whose content is not the article.
-ASIDE = set("head title nav footer aside form button dialog menu input option legend fieldset".split()) | RAW
+#: Elements whose content is not the article.
+ASIDE = set("head title nav footer aside form button dialog menu input select option legend fieldset".split()) | RAW
+#: Words that name what is not the article, and words that say nothing, in classes, ids and roles. A name counts if it has one of the first and else only the second.
 NOTES = set(
     "ad ads adv advert adverts advertisement advertising advertorial banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "alert alerts popup modal overlay newsletter subscribe subscription signup sidebar menu menus nav navbar navigation navi breadcrumb breadcrumbs footer pagination "
     "pager comment comments respond reply replies disqus share sharing social related recommended recommendations widget widgets toolbar login search complementary contentinfo".split()
 )
+NEUTRAL = set("area bar block bottom box buttons container content entry form group holder inner item items left links list main outer page panel post row section site the thread top right wrap wrapper zone".split())
 
 
 class Node:
-    __slots__ = ("label", "name", "children", "aside", "main")
+    """An element: ``aside`` by its tag, ``noted`` if only its class, id or role says so."""
+
+    __slots__ = ("label", "name", "children", "aside", "main", "noted")
+
+    def __init__(self, label: str, name: str, aside: bool, main: bool, noted: bool = False):
+        self.label, self.name, self.children, self.aside, self.main, self.noted = label, name, [], aside, main, noted
+
 
-    def __init__(self, label: str, name: str, aside: bool, main: bool):
-        self.label, self.name, self.children, self.aside, self.main = label, name, [], aside, main
+def _names(attributes: str) -> tuple[set[str], bool, bool]:
+    """(words of class, id and role, whether one of these names what is not the article, whether the element is hidden)."""
+    words: set[str] = set()
+    noted = hidden = False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            for token in value.lower().split():
+                parts = set(_WORDS.findall(token))
+                words |= parts
+                noted |= bool(parts & NOTES) and parts <= NOTES | NEUTRAL
+        hidden |= name == "hidden" or name == "style" and bool(_HIDDEN.search(value))
+    return words, noted, hidden
 
 
 def parse(html: str) -> tuple[Node, bool]:
@@ -79,21 +105,18 @@ def parse(html: str) -> tuple[Node, bool]:
             continue
         if name == "p" or name not in INLINE:
             for at in range(len(open_) - 1, 0, -1):
-                if open_[at].name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (name in TURNS and TURNS.get(open_[at].name) == TURNS[name]):
+                if open_[at].name == "p" or open_[at].name in HEADINGS or (name in TURNS and TURNS.get(open_[at].name) == TURNS[name]):
                     del open_[at:]
                     break
                 if open_[at].name not in INLINE:
                     break
         above = open_[-1]
         attributes = found[3]
-        words: set[str] = set()
-        if attributes:
-            for m in _CLASS.finditer(attributes):
-                words.update(_WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+        words, noted, hidden = _names(attributes) if attributes else (set(), False, False)
         main = above.main or name in MAIN or "main" in words and name == "div"
         has_main |= name in MAIN
-        aside = above.aside or name in ASIDE or (name == "header" and not above.main) or bool(words & NOTES) or bool(attributes and _HIDDEN.search(attributes))
-        node = Node(f"{name}.{'.'.join(sorted(words))}" if words else name, name, aside, main)
+        aside = above.aside or name in ASIDE or (name == "header" and not above.main) or hidden
+        node = Node(f"{name}.{'.'.join(sorted(words))}" if words else name, name, aside, main, noted)
         above.children.append(node)
         if name not in VOID and not attributes.endswith("/"):
             if len(open_) >= DEPTH:
@@ -103,9 +126,34 @@ def parse(html: str) -> tuple[Node, bool]:
                     node.children = above.children
             if len(open_) < 10 * DEPTH:
                 open_.append(node)
+    _settle(root)
     return root, has_main
 
 
+def _settle(root: Node) -> None:
+    """What a class calls a note is one, unless it holds an article or main element or more than half of the page's text."""
+    order, left = [], [root]
+    while left:
+        node = left.pop()
+        order.append(node)
+        left += [c for c in node.children if not isinstance(c, str)]
+    size: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    for node in reversed(order):
+        below = [c for c in node.children if not isinstance(c, str)]
+        own = 0 if node.aside else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        size[id(node)] = own + sum(size.get(id(c), 0) for c in below)
+        holds[id(node)] = node.name in MAIN or any(holds.get(id(c), False) for c in below)
+    whole = size[id(root)]
+    for node in order:
+        if node.noted and not node.aside and not holds[id(node)] and 2 * size[id(node)] <= whole:
+            node.aside = True
+        if node.aside:
+            for c in node.children:
+                if not isinstance(c, str):
+                    c.aside = True
+
+
 # ---- wrappers: [label, optional, repeated, items] for elements, ["#", optional, repeated, digest or None, pages] for texts,
 # ---- ["*", optional, True, items] for repeated groups of several
 
@@ -194,7 +242,8 @@ def merged(a: list, b: list) -> list:
         places.setdefault(x[0], []).append(i)
     out, at = [], 0
     for y in b:
-        found = next((i for i in places.get(y[0], ()) if i >= at and _same(a[i], y)), None)
+        own = places.get(y[0], ())
+        found = next((own[k] for k in range(bisect_left(own, at), len(own)) if _same(a[own[k]], y)), None)
         if found is None:
             # more of what was just matched is a repetition
             if out and _alike(out[-1], y):
@@ -233,43 +282,56 @@ def main_text(html: str, wrapper: list | None) -> str:
 
     The page is read along its host's wrapper. Texts in regions that are not the
     article are left out; if the page has an article or main element, only that
-    counts; outside of it a text is the host's own and is left out if all distinct
-    pages, SUPPORT at least, have it in one place: neither the place nor what it
-    stands in is optional. That takes a wrapper with slots.
+    counts. A text is the host's own if all distinct pages have it in one place:
+    neither the place nor what it stands in is optional or repeated. That takes a
+    wrapper with slots and SUPPORT pages. Such texts go outside of articles. Inside,
+    blocks go that consist of nothing else, on MAIN_SUPPORT pages, unless they are
+    headings or more than one part in MAIN_SHARE of the article: then the pages are
+    versions of one article.
     """
     root, has_main = parse(html)
-    blocks: list[list[str]] = [[]]
+    # a block's texts, and whether anything of it is the article's own
+    blocks: list[tuple[list[str], list[bool]]] = [([], [])]
     templated = bool(wrapper) and _slots(wrapper)
 
-    def walk(node: Node, items: list | None, everywhere: bool = True) -> None:
+    def walk(node: Node, items: list | None, everywhere: bool = True, heading: bool = False) -> None:
         items, at = _flat(items) if items else [], 0
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(items):
+            places.setdefault(x[0], []).append(i)
         for child in node.children:
             label = "#" if isinstance(child, str) else child.label
-            item = None
-            if items and (label != "#" or child.strip()):
-                for i in (*range(at, len(items)), *range(at)):
-                    if items[i][0] == label:
-                        item, at = items[i], i if items[i][2] else i + 1
-                        break
+            item, own = None, places.get(label) if label != "#" or child.strip() else None
+            if own:
+                # the next place of the kind, or again the first one
+                i = own[k] if (k := bisect_left(own, at)) < len(own) else own[0]
+                item, at = items[i], i if items[i][2] else i + 1
             if label == "#":
                 if node.aside or has_main and not node.main:
                     continue
-                own = item is not None and templated and not node.main and item[3] is not None and item[4] >= SUPPORT and not item[2] and not item[1] and everywhere and item[3] == _digest(child)
-                if not own:
-                    blocks[-1].append(child)
+                constant = item is not None and templated and everywhere and not item[1] and not item[2] and item[3] is not None and item[3] == _digest(child)
+                if node.main:
+                    blocks[-1][0].append(child)
+                    if child.strip():
+                        blocks[-1][1].append(heading or not constant or item[4] < MAIN_SUPPORT)
+                elif not constant or item[4] < SUPPORT:
+                    blocks[-1][0].append(child)
+                    blocks[-1][1].append(True)
             elif child.name == "br":
-                blocks[-1].append(" ")
+                blocks[-1][0].append(" ")
             else:
                 block = child.name not in INLINE
                 if block:
-                    blocks.append([])
-                walk(child, item[3] if item else None, everywhere and item is not None and not item[1])
+                    blocks.append(([], []))
+                walk(child, item[3] if item else None, everywhere and item is not None and not item[1] and not item[2], heading or child.name in HEADINGS)
                 if block:
-                    blocks.append([])
+                    blocks.append(([], []))
 
     walk(root, wrapper)
-    lines = (" ".join("".join(b).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+    lines = [(" ".join("".join(parts).split()), any(own)) for parts, own in blocks]
+    hosts = sum(len(x) for x, own in lines if not own)
+    few = MAIN_SHARE * hosts <= sum(len(x) for x, _ in lines)
+    return "\n".join(x for x, own in lines if x and (own or not few))
 
 
 # ---- Spark ----
@@ -320,7 +382,8 @@ def infer(pages: DataFrame) -> DataFrame:
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(own)], pa.string())})
 
     each = pages.select(host_of("url").alias("host"), "html").mapInArrow(single, "host string, key long, wrapper string")
-    distinct = each.groupBy("host", "key").agg(F.min("wrapper").alias("wrapper"))
+    # in a fixed order, as what a wrapper becomes depends on it
+    distinct = each.groupBy("host", "key").agg(F.min("wrapper").alias("wrapper")).sortWithinPartitions("host", "key")
     local = distinct.select("host", "wrapper").mapInArrow(run, "host string, wrapper string")
     local = local.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
     return local.groupBy("host", "salt").applyInArrow(join, "host string, wrapper string").groupBy("host").applyInArrow(join, "host string, wrapper string")
@@ -330,30 +393,37 @@ def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (url, html, ...) with text and n_chars.
 
     Null html is empty; null urls and those without a host share the host ''; a
-    page with no main text has an empty text; wrappers are broadcast only while all
-    of them take at most BROADCAST_BYTES; rows appear as often as they came;
-    columns named text or n_chars are replaced.
+    page with no main text has an empty text; a very long page is read whole, its
+    elements deeper than DEPTH as part of their ancestor; wrappers are broadcast
+    only while all of them take at most BROADCAST_BYTES; rows appear as often as
+    they came, and copies count once in their host's wrapper; an empty table gives
+    an empty result; columns named text or n_chars are replaced.
     """
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
     # kept, not written: a row a host in many small files is dearer than inferring a lost part again
-    wrappers = infer(pages).persist(StorageLevel.MEMORY_AND_DISK).withColumnsRenamed({"host": "__host", "wrapper": "__wrapper"})
-    size = wrappers.agg(F.coalesce(F.sum(F.length("__wrapper")), F.lit(0))).first()[0]
-    side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
-    rows = pages.select(*keep).withColumn("__own", host_of("url"))
-    rows = rows.join(side, rows["__own"] == side["__host"], "left").select(*keep, "__wrapper")
+    wrappers = infer(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
+    rows, known = pages.select(*keep).withColumn("__own", host_of("url")), None
+    if size <= BROADCAST_BYTES:
+        known = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.toLocalIterator()})
+        wrappers.unpersist()
+        rows = rows.withColumn("__wrapper", F.lit(None).cast("string"))
+    else:
+        side = wrappers.withColumnsRenamed({"host": "__host", "wrapper": "__wrapper"})
+        rows = rows.join(side, rows["__own"] == side["__host"], "left").drop("__host")
     html_at = keep.index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        read: dict[str, list] = {}
         for batch in batches:
             texts = []
-            for html, wrapper in zip(batch.column(html_at), batch.column(len(keep)), strict=True):
-                text = wrapper.as_py()
-                if text is not None and text not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[text] = json.loads(text)
-                texts.append(main_text(html.as_py() or "", known.get(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
-
-    return rows.mapInArrow(run, pages.select(*keep, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)
+            for html, host, wrapper in zip(batch.column(html_at), batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1), strict=True):
+                if host not in read:
+                    if len(read) > 1000:
+                        read.clear()
+                    text = wrapper.as_py() if known is None else known.value.get(host)
+                    read[host] = json.loads(text) if text else None
+                texts.append(main_text(html.as_py() or "", read[host]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+
+    return rows.select(*keep, "__own", "__wrapper").mapInArrow(run, pages.select(*keep, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)

@@ -2,6 +2,9 @@
 
 import hashlib
 import os
+import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -140,6 +143,93 @@ def test_odd_pages_do_not_crash(html):
     assert "<div" not in text and text == "\n".join(line.strip() for line in text.split("\n"))
 
 
+def accepts(items, tokens):
+    """Whether a wrapper, written as a regular expression over tags and text digests, matches a page's own tokens."""
+
+    def pattern(items):
+        out = []
+        for x in items:
+            inner = "" if x[0] not in ("#", "*") else r"#\d+;" if x[0] == "#" and x[3] is None else f"#{x[3]};" if x[0] == "#" else pattern(x[3])
+            inner = inner or f"<{re.escape(x[0])}>{pattern(x[3])}</>"
+            out.append(f"(?:{inner}){'*' if x[1] and x[2] else '?' if x[1] else '+' if x[2] else ''}")
+        return "".join(out)
+
+    return re.fullmatch(pattern(items), tokens) is not None
+
+
+def tokens(node):
+    return "".join((f"#{wrappers._digest(c)};" if c.strip() else "") if isinstance(c, str) else f"<{c.label}>{tokens(c)}</>" for c in node.children)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_wrappers_match_every_page_they_come_from(seed):
+    """Brute force: pages of one random template with optional and repeated parts, and changing texts."""
+    rng = random.Random(seed)
+    kinds = ["p", "h2", "table", "pre", "hr", "dl"]
+
+    def template(depth):
+        return [(rng.choice(["one", "maybe", "many", "fixed", "slot"]), kind, template(depth - 1) if depth else []) for kind in rng.sample(kinds, rng.randint(1, 4))]
+
+    def fill(parts):
+        out = []
+        for role, kind, inner in parts:
+            if role == "fixed":
+                out.append(f"<{kind}>constant {kind}</{kind}>")
+            elif role == "slot":
+                out.append(f"<{kind}>word{rng.randrange(9)}</{kind}>")
+            else:
+                for _ in range({"one": 1, "maybe": rng.randint(0, 1), "many": rng.randint(1, 3)}[role]):
+                    out.append(f"<div class=c{kind}>{fill(inner)}</div>")
+        return "".join(out)
+
+    own = template(2)
+    roots = [wrappers.parse(f"<body>{fill(own)}</body>")[0] for _ in range(6)]
+    merged = wrappers.wrapper_of(roots[0])
+    for root in roots[1:]:
+        merged = wrappers.merged(merged, wrappers.wrapper_of(root))
+    assert all(accepts(merged, tokens(r)) for r in roots), wrappers.expression(merged)
+
+
+def test_a_class_is_evidence_not_a_verdict():
+    body = "<h1>Head</h1><p>The story itself.</p>"
+    for page in (
+        f"<article class='post has-comments'>{body}</article>", f"<body class='single no-sidebar'><article>{body}</article></body>", f"<article class='hentry share-on'>{body}</article>",
+        f"<div class='widget'><div>{body}</div></div>", f"<main><div data-x='hidden'>{body}</div></main>", f"<div id=comments><article>{body}</article></div>",
+    ):
+        assert wrappers.main_text(page, None) == "Head\nThe story itself.", page
+    for note in ("class='ad'", "class='cookie-notice'", "id=site-footer", "class='post-comments wide'", "role=search", "hidden", "style='display: none'", "class='newsletter signup'"):
+        assert wrappers.main_text(f"<article>{body}<div {note}>Go away</div></article>", None) == "Head\nThe story itself.", note
+    assert wrappers.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><canvas>chart</canvas></article>", None) == "Let x=2 be.\nchart"
+
+
+def test_the_wrapper_acts_inside_articles_of_its_own_host_only(spark):
+    page = "<body><nav>Top</nav><article><h1>Story {0}</h1><h2>Summary</h2><div class=x>Told by our reporters</div><p>What happened on day {0} is told here at some length for all, and <b>why</b> it is no wonder to anyone who read of day {0} before, as most of the town seems to have done</p><ul><li>one</li><li>two</li></ul><div>Sign our petition</div></article></body>"
+    rows = [(f"http://one.test/{i}", page.format(i)) for i in range(5)]
+    rows += [(f"http://two.test/{i}", page.format(i).replace("Sign our petition", f"Petition {i}")) for i in range(5)]
+    rows += [("http://three.test/0", page.format(0))]
+    found = {r["url"]: r["text"].split("\n") for r in wrappers.extract(spark.createDataFrame(rows, "url string, html string").repartition(4)).collect()}
+    long = lambda i: [f"What happened on day {i} is told here at some length for all, and why it is no wonder to anyone who read of day {i} before, as most of the town seems to have done", "one", "two"]
+    for i in range(5):
+        assert found[f"http://one.test/{i}"] == [f"Story {i}", "Summary", *long(i)]
+        assert found[f"http://two.test/{i}"] == [f"Story {i}", "Summary", *long(i), f"Petition {i}"]
+    assert found["http://three.test/0"] == ["Story 0", "Summary", "Told by our reporters", *long(0), "Sign our petition"]
+
+
+def test_versions_of_one_article_keep_what_they_share(spark):
+    page = "<body><article><h1>Story</h1><div>A first part that all versions of this story have in common</div><pre>Version {0} has this of its own, which is quite long</pre><table>And a last part that stays</table></article></body>"
+    rows = [(f"http://one.test/{i}", page.format(i)) for i in range(8)]
+    found = [r["text"].count("\n") for r in wrappers.extract(spark.createDataFrame(rows, "url string, html string")).collect()]
+    assert found == [3] * 8
+
+
+def test_a_node_with_many_children_takes_linear_time():
+    html = "<body>" + "".join(f"<p class=k{i % 50}>text {i}</p><i>x</i>" for i in range(20_000)) + "</body>"
+    wrapper = wrappers.wrapper_of(wrappers.parse(html)[0])
+    began = time.time()
+    assert wrappers.main_text(html, wrappers.merged(wrapper, wrapper)).count("\n") > 10_000
+    assert time.time() - began < 30
+
+
 def test_odd_page_rows(spark):
     rows = [(1, None, "<p>a</p>", None, None), (2, "no url", None, None, None), (None, "http://h/1", "<p>b", None, None), (3, "http://h/1", "<p>b", None, None), (3, "http://h/1", "<p>b", None, None)]
     found = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string")).collect()
