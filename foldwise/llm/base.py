@@ -6,8 +6,6 @@ rows plus row offsets), so no Python string is made for a row.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.plans.freeze import frozen
+
 SLICE_BYTES = 2 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,34 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session (tests) may go without that setting; it then gets a
-    folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="foldwise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def frozen(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    Cuts the lineage, so that what follows neither recomputes nor loses rows with
-    an executor. The folder goes when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foldwise-{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``frozen``, after which the shuffles that led to it are deleted: nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return frozen(df, name)
+    finally:
+        conf.set(key, before)
 
 
 def lower_ascii(column):

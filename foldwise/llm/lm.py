@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, text_buffers, word_hashes, word_spans
+from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, text_buffers, word_hashes, word_spans, written
 
 #: Most bytes of a filter that is broadcast (a larger one stays in its hash ranges), bits an insertion, probes of one insertion.
 #: What is broadcast is held once a worker and probed at random, so it should fit into a core's caches.
@@ -239,7 +239,7 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_types: int
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
     # several ranges a partition, so that tasks of some ranges each are alike
     buckets = 4 << max(2, math.ceil(math.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))))
-    summed = _written(_summed(_counted(rows.where("not held_out"), buckets)), "lm-counts")
+    summed = written(_summed(_counted(rows.where("not held_out"), buckets)), "lm-counts")
     histogram = _histogram(summed)
     by_kind = [[(r["count"], r["types"]) for r in histogram if r["kind"] == k] for k in (0, 1)]
     n_train = sum(r["tokens"] for r in histogram if r["kind"] == 0)
@@ -311,17 +311,6 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_types: int
     )
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``frozen``, after which the shuffles that led to it are deleted: nothing reads them again."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key)
-    conf.set(key, "true")
-    try:
-        return frozen(df, name)
-    finally:
-        conf.set(key, before)
-
-
 def _packed(hashes: np.ndarray) -> bytes:
     """Sorted hashes as differences, byte place by byte place, so that a shuffle compresses them."""
     return np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -400,7 +389,7 @@ def _ranged(rows: DataFrame, summed: DataFrame, segment_bits: int, buckets: int,
 
     asked = sliced.select("slice", "texts").mapInArrow(ask, "slice long, kind int, bucket int, hashes binary")
     answered = asked.groupBy("bucket").cogroup(summed.groupBy("bucket")).applyInArrow(answer, "slice long, kind int, bucket int, levels binary, counts binary")
-    answered = _written(answered, "lm-levels")
+    answered = written(answered, "lm-levels")
     return sliced.groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(scores, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, word_spans
+from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, word_spans, written
 
 #: Bytes that decide on a boundary, its odds (one in 2**5), least and most bytes of a chunk, and bytes between cuts where nothing marks one.
 WINDOW, MASK_BITS, LEAST, MOST, APART = 16, 5, 12, 256, 64
 #: A repeated stretch counts as a passage from so many whole words or so many bytes on.
 RUN_WORDS, RUN_BYTES = 45, 512
 #: How far a repeated stretch is followed beyond its whole chunks: the lengths of text on either side that are compared, by 16 bits each.
-STEPS = np.array([*range(8, 65, 8), *range(80, 129, 16), *range(160, 257, 32)])
+STEPS = np.array([8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 128, 160])
 #: Most bits of the broadcast filter of repeated digests.
 FILTER_BITS = 1 << 24
 
@@ -132,16 +132,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(both[0], dtype=np.uint64), np.cumprod(both[1], dtype=np.uint64)
 
 
-def _ladders(data: np.ndarray, offsets: np.ndarray, edges: np.ndarray, rows: np.ndarray, side: int, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(16-bit hashes, lengths, whole words) of the text before (side -1) or behind (1) each edge, for all STEPS, within its row."""
+def _ladders(data: np.ndarray, offsets: np.ndarray, edges: np.ndarray, rows: np.ndarray, side: int) -> np.ndarray:
+    """16-bit hashes of the text before (side -1) or behind (1) each edge, for all STEPS, within its row."""
     _, inverses = _power_cache(len(data) + 1)
     sums = _sums_cache(data)
-    reach = np.where(side < 0, np.minimum(STEPS[None, :], (edges - offsets[rows])[:, None]), np.minimum(STEPS[None, :], (offsets[rows + 1] - edges)[:, None]))
+    reach = np.minimum(STEPS[None, :], (edges - offsets[rows] if side < 0 else offsets[rows + 1] - edges)[:, None])
     a = edges[:, None] - (reach if side < 0 else 0)
     b = edges[:, None] + (0 if side < 0 else reach)
     with np.errstate(over="ignore"):
         hashes = mixed((sums[b] - sums[a]) * inverses[a] + reach.astype(np.uint64))
-    return (hashes >> np.uint64(48)).astype(np.uint16), reach.astype(np.uint16), (opens[b] - opens[a]).astype(np.uint8)
+    return (hashes >> np.uint64(48)).astype(np.uint16)
 
 
 _cache: dict = {}
@@ -161,9 +161,9 @@ def _sums_cache(data: np.ndarray) -> np.ndarray:
 
 def _places(chunked: DataFrame, repeated: DataFrame, kind: str) -> DataFrame:
     """A row for each chunk that may be repeated: its digest, document, row, place, whole words, and ladders on both sides."""
-    schema = f"digest long, own {kind}, row long, begin int, `end` int, words int, before binary, behind binary, before_sizes binary, behind_sizes binary"
+    schema = f"digest long, own {kind}, row long, begin int, `end` int, size int, words int, before binary, behind binary"
     known = chunked.sparkSession.sparkContext.broadcast(_filter_of(repeated))
-    names = "digest own row begin end words before behind before_sizes behind_sizes".split()
+    names = "digest own row begin end size words before behind".split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
@@ -186,47 +186,38 @@ def _places(chunked: DataFrame, repeated: DataFrame, kind: str) -> DataFrame:
             opens[begins + 1] = 1
             opens = np.cumsum(opens)
             begin, end = offsets[own] + starts, offsets[own] + stops
-            left = _ladders(data, offsets, begin, own, -1, opens)
-            right = _ladders(data, offsets, end, own, 1, opens)
+            ladders = [_ladders(data, offsets, edge, own, side) for edge, side in ((begin, -1), (end, 1))]
+            packed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(x)]).cast(pa.binary()) for x in ladders]
+            numbers = [x.astype(np.int32) for x in (starts, stops, np.diff(offsets)[own], opens[end] - opens[begin])]
             rows = batch.column(0).to_numpy()[own]
-            sizes = lambda x: packed(np.concatenate([x[1].view(np.uint8).reshape(len(own), -1), x[2]], axis=1))  # noqa: B023, E731
-            packed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(digests), batch.column(1).take(pa.array(own)), pa.array(rows), pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32)),
-                    pa.array((opens[end] - opens[begin]).astype(np.int32)), packed(left[0]), packed(right[0]), sizes(left), sizes(right),
-                ],
-                names=names,
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(digests), batch.column(1).take(pa.array(own)), pa.array(rows), *map(pa.array, numbers), *packed], names=names)
 
     return chunked.select("row", "doc_id", "digests", "ends", "text").mapInArrow(run, schema)
 
 
-def _reach(own: pd.Series, one: pd.Series, two: pd.Series, sizes: pd.Series) -> pd.DataFrame:
-    """How far a place's text agrees with that of either other place, as bytes and words of its own text."""
+def _reach(own: pd.Series, one: pd.Series, two: pd.Series) -> pd.Series:
+    """How many bytes a place's text agrees with that of either other place, as far as the steps tell."""
     n, k = len(own), len(STEPS)
     mine = np.frombuffer(b"".join(own), np.uint16).reshape(n, k)
     best = np.zeros(n, np.int64)
     for other in (one, two):
         here = other.notna().to_numpy()
-        same = np.zeros((n, k), bool)
         if here.any():
-            same[here] = mine[here] == np.frombuffer(b"".join(other[here]), np.uint16).reshape(-1, k)
-        best = np.maximum(best, np.cumprod(same, axis=1).sum(axis=1))
-    table = np.frombuffer(b"".join(sizes), np.uint8).reshape(n, 3 * k)
-    lengths, words = np.ascontiguousarray(table[:, : 2 * k]).view(np.uint16), table[:, 2 * k :]
-    at = np.maximum(best - 1, 0)
-    pick = lambda x: np.where(best > 0, x[np.arange(n), at], 0).astype(np.int32)
-    return pd.DataFrame({"bytes": pick(lengths), "words": pick(words)})
+            same = mine[here] == np.frombuffer(b"".join(other[here]), np.uint16).reshape(-1, k)
+            best[here] = np.maximum(best[here], np.cumprod(same, axis=1).sum(axis=1))
+    return pd.Series(np.concatenate([[0], STEPS])[best].astype(np.int32))
+
 
+def _joined(begin, end, words, left, right, size: int, run_words: int, run_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Touching chunks joined and followed on both sides, the short stretches left out: (begins, ends, for each chunk whether it is in one).
 
-def _joined(begin, end, words, left, right, run_words: int, run_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Touching chunks joined and followed on both sides, the short stretches left out: (begins, ends, for each chunk whether it is in one)."""
+    What a stretch is followed by counts as many words as its own bytes have on average.
+    """
     opens = np.concatenate([[True], begin[1:] != end[:-1]])
     closes = np.concatenate([opens[1:], [True]])
     at = np.cumsum(opens) - 1
-    b, e = begin[opens] - left[0][opens], end[closes] + right[0][closes]
-    count = np.bincount(at, words) + left[1][opens] + right[1][closes]
+    b, e = np.maximum(begin[opens] - left[opens], 0), np.minimum(end[closes] + right[closes], size)
+    count = np.bincount(at, words) * (e - b) / (end[closes] - begin[opens])
     long = (count >= run_words) | (e - b >= run_bytes)
     inside = long[at]
     b, e = b[long], e[long]
@@ -244,8 +235,8 @@ def _passages(rows: DataFrame, kind: str, run_words: int, run_bytes: int) -> Dat
             out: dict[str, list] = {k: [] for k in ("n_repeated", "repeat_bytes", "first_ids", "spans")}
             lists = batch.column(1)
             values, first = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            begin, end, words, *reach = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7))
-            later, owner = values.field(7).to_numpy(zero_copy_only=False).astype(bool), values.field(8)
+            begin, end, size, words, left, right = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+            later, owner = values.field(6).to_numpy(zero_copy_only=False).astype(bool), values.field(7)
             for i in range(batch.num_rows):
                 at = np.arange(first[i], first[i + 1])
                 at = at[np.argsort(begin[at], kind="stable")]
@@ -253,8 +244,7 @@ def _passages(rows: DataFrame, kind: str, run_words: int, run_bytes: int) -> Dat
                 def stretches(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                     if not len(at):
                         return at, at, np.zeros(0, bool)
-                    left, right = [x[at] for x in reach[:2]], [x[at] for x in reach[2:]]
-                    return _joined(begin[at], end[at], words[at], left, right, run_words, run_bytes)
+                    return _joined(*(x[at] for x in (begin, end, words, left, right)), int(size[at[0]]), run_words, run_bytes)
 
                 rb, re, _ = stretches(at)
                 late = at[later[at]]
@@ -281,7 +271,7 @@ def repeats(docs: DataFrame, run_words: int = RUN_WORDS, run_bytes: int = RUN_BY
     Touching repeated chunks make a stretch. At both ends it is followed into the
     neighbouring chunks, in steps of 8 bytes at first, as long as the text agrees
     with that at the chunk's first or last place anywhere. It is a passage if it
-    then has ``run_words`` whole words or ``run_bytes`` bytes: one of 50 words or more is
+    then has ``run_words`` words or ``run_bytes`` bytes: one of 50 words or more is
     found if one whole chunk lies in it. repeat_bytes counts all passages,
     dup_bytes those of later places; ``spans`` are the latter's byte ranges and
     ``first_ids`` the documents that keep their chunks.
@@ -296,17 +286,17 @@ def repeats(docs: DataFrame, run_words: int = RUN_WORDS, run_bytes: int = RUN_BY
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunked = frozen(_chunked(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
-    repeated = frozen(chunked.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "chunk-digests")
+    repeated = written(chunked.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "chunk-digests")
     places = frozen(_places(chunked, repeated, kind), "chunk-places")
     place = F.struct(F.col("own").isNull().alias("nameless"), "own", "row", "begin", "before", "behind")
     ends = places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = places.join(frozen(ends, "chunk-ends"), "digest")
+    again = places.join(written(ends, "chunk-ends"), "digest")
     is_ = lambda end: (F.col("row") == F.col(f"{end}.row")) & (F.col("begin") == F.col(f"{end}.begin"))
-    reach = pandas_udf(_reach, "struct<bytes:int,words:int>")
-    seen = lambda side: reach(side, *[F.when(~is_(e), F.col(f"{e}.{side}")) for e in ("first", "last")], f"{side}_sizes")
+    reach = pandas_udf(_reach, "int")
+    seen = lambda side: reach(side, *[F.when(~is_(e), F.col(f"{e}.{side}")) for e in ("first", "last")])
     later = ~F.col("own").eqNullSafe(F.col("first.own")) | ((F.col("row") == F.col("first.row")) & (F.col("begin") != F.col("first.begin")))
-    again = again.select("row", "begin", "end", "words", later.alias("later"), F.col("first.own").alias("owner"), seen("before").alias("l"), seen("behind").alias("r"))
-    chunk = F.struct("begin", "end", "words", "l.bytes", "l.words", "r.bytes", "r.words", "later", "owner")
+    again = again.select("row", "begin", "end", "size", "words", seen("before").alias("left"), seen("behind").alias("right"), later.alias("later"), F.col("first.own").alias("owner"))
+    chunk = F.struct("begin", "end", "size", "words", "left", "right", "later", "owner")
     found = _passages(again.groupBy("row").agg(F.collect_list(chunk).alias("chunks")), kind, run_words, run_bytes)
     sized = chunked.select("row", "doc_id", "n_bytes", F.size("digests").cast("long").alias("n_chunks"))
     out = sized.join(found, "row", "left")
