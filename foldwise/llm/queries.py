@@ -143,9 +143,71 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 """
 
 
+def _op9_sql() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    known = ", ".join(f"({i}, '{label}', {str(exact).lower()}, {k}, '{' '.join(words)}')" for i, label, exact, k, words in licenses.known_templates())
+    near, slack = licenses.NEAR_DIAGONALS, licenses.SLACK
+    return rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), t(template, label, exact, k, words) AS (VALUES {known}
+), tp AS (
+  SELECT template, label, exact, k, string_split(words, ' ') AS words, len(string_split(words, ' ')) AS n, unnest(range(0, len(string_split(words, ' ')) - k + 1)) AS t_pos FROM t
+), tg AS (
+  SELECT template, label, exact, k, n, n - k + 1 AS whole, t_pos, array_to_string(words[t_pos + 1:t_pos + k], ' ') AS gram FROM tp
+), p AS (
+  SELECT r, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM d, (SELECT DISTINCT k FROM t)
+), g AS (
+  SELECT r, k, pos, array_to_string(w[pos + 1:pos + k], ' ') AS gram FROM p
+), diagonals AS (
+  SELECT r, template, label, exact, g.k, n, whole, pos - t_pos AS diagonal, count(DISTINCT t_pos) AS hits, min(pos) AS first, max(pos) AS last FROM g JOIN tg ON g.k = tg.k AND g.gram = tg.gram GROUP BY ALL
+), marked AS (
+  SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) > {near} OR first - lag(last) OVER o > n OR lag(last) OVER o IS NULL THEN 1 ELSE 0 END AS apart
+  FROM diagonals WHERE NOT exact AND hits < whole WINDOW o AS (PARTITION BY r, template ORDER BY first, diagonal)
+), islands AS (
+  SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY first, diagonal) AS island FROM marked
+), merged AS (
+  SELECT r, label, min(first) AS begin_, max(last) - min(first) + k AS length_, n, least(1.0::DOUBLE, sum(hits)::DOUBLE / whole) AS share FROM islands GROUP BY r, template, label, k, n, whole, island
+), found AS (
+  SELECT r, label, exact, diagonal AS begin_, 1.0::DOUBLE AS share FROM diagonals WHERE hits = whole
+  UNION ALL SELECT r, label, false AS exact, begin_, share FROM merged WHERE share >= 0.6::DOUBLE AND length_ <= n + greatest({2 * near}, n // {slack})
+), s AS (
+  SELECT r, count(*) FILTER (exact) AS n_base, min(begin_) FILTER (exact) AS first_word, max(begin_) FILTER (exact) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN s USING (r)
+"""
+
+
+def _op10_sql() -> str:
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({low}, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL
+), g AS (
+  SELECT DISTINCT r, gram FROM (SELECT r, array_to_string(w[k:k + least(len(w), 5) - 1], ' ') AS gram FROM (SELECT r, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS k FROM d WHERE len(w) > 0))
+), n AS (
+  SELECT r, count(*) AS size FROM g GROUP BY r
+), p AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r GROUP BY a.r, b.r
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 100 * common >= 85 * (x.size + y.size - common)
+), reached AS (
+  SELECT r AS a, r AS b FROM n UNION SELECT reached.a, e.b FROM reached JOIN e ON e.a = reached.b
+), c AS (
+  SELECT reached.a AS r, min(d.doc_id) AS component_id FROM reached JOIN d ON d.r = reached.b GROUP BY reached.a
+), every AS (
+  SELECT doc_id, r FROM d UNION ALL SELECT doc_id, NULL AS r FROM documents WHERE text IS NULL
+)
+SELECT doc_id, coalesce(size, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM every LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_pareto_mixing, op2_gear_chunks, op3_crf_quality, op4_progressive_jpeg, op5_hypergeometric_sharding, op6_union_free_wrappers, op7_bloom_lm, op8_aho_corasick, op9_diagonal_voting, op10_bayes_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixing": OP1_SQL, "op8_aho_corasick": OP8_SQL}
+    return {"op1_pareto_mixing": OP1_SQL, "op8_aho_corasick": OP8_SQL, "op9_diagonal_voting": _op9_sql(), "op10_bayes_minhash": _op10_sql()}
