@@ -17,7 +17,7 @@ from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, word_span
 #: Bytes that decide on a boundary, its odds (one in 2**5), least and most bytes of a chunk, and bytes between cuts where nothing marks one.
 WINDOW, MASK_BITS, LEAST, MOST, APART = 16, 5, 12, 256, 64
 #: A repeated stretch counts as a passage from so many whole words or so many bytes on.
-RUN_WORDS, RUN_BYTES = 45, 512
+RUN_WORDS, RUN_BYTES = 42, 512
 #: How far a repeated stretch is followed beyond its whole chunks: the lengths of text on either side that are compared, by 16 bits each.
 STEPS = np.array([8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 128, 160])
 #: Most bits of the broadcast filter of repeated digests.
@@ -271,7 +271,7 @@ def repeats(docs: DataFrame, run_words: int = RUN_WORDS, run_bytes: int = RUN_BY
     Touching repeated chunks make a stretch. At both ends it is followed into the
     neighbouring chunks, in steps of 8 bytes at first, as long as the text agrees
     with that at the chunk's first or last place anywhere. It is a passage if it
-    then has ``run_words`` words or ``run_bytes`` bytes: one of 50 words or more is
+    then has ``run_words`` words or ``run_bytes`` bytes: one of over 50 words is
     found if one whole chunk lies in it. repeat_bytes counts all passages,
     dup_bytes those of later places; ``spans`` are the latter's byte ranges and
     ``first_ids`` the documents that keep their chunks.
