@@ -10,30 +10,55 @@ from foldwise.llm.base import frozen, table
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier rejects go."""
+    """Documents that the line classifier rejects go.
+
+    Null and empty texts are scored as one empty line; a very long text is scored
+    whole; rows with equal texts go or stay together; an empty table gives an empty
+    one. All columns pass unchanged, whatever their names.
+    """
     foldwise.ship(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
+    """One document of each near-duplicate component (five-word shingles, similarity 0.8) stays.
+
+    It is the one with the least doc_id, null ids last, and of rows equal in doc_id and
+    text one. Null texts and those without words have no duplicates but rows of their
+    own doc_id; very long texts are compared whole; an empty table gives an empty
+    one. All columns pass unchanged, whatever their names.
+    """
     foldwise.ship(spark)
     return neardup.without_near_duplicates(docs)
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark passages go."""
+    """Documents contaminated by benchmark passages go.
+
+    Null and empty texts are clean; very long texts are scanned whole; rows with equal
+    texts go or stay together; an empty table or benchmark changes nothing. All
+    columns pass unchanged, whatever their names.
+    """
     foldwise.ship(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it, none more than three times.
+
+    Null is a source of its own; null texts and those without words are taken at their
+    expected copies; of ties in rank the lesser doc_id is taken first; an empty table
+    gives an empty one. All columns pass unchanged, whatever their names.
+    """
     return mixing.mixed_rows(docs)
 
 
 def _shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets a shard and a slot of a uniform shuffle."""
+    """Every row gets a shard and a slot of a uniform shuffle; shards differ by one row at most.
+
+    Null, empty and very long texts and copies are rows like any other; an empty table
+    gives an empty one; columns named shard or slot are replaced.
+    """
     foldwise.ship(spark)
     return sharding.shard(docs, 8)
 
