@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, word_spans, written
+from foldwise.plans.freeze import dropped
 
 #: Bytes that decide on a boundary, its odds (one in 2**5), least and most bytes of a chunk, and bytes between cuts where nothing marks one.
 WINDOW, MASK_BITS, LEAST, MOST, APART = 16, 5, 12, 256, 64
@@ -287,7 +288,9 @@ def repeats(docs: DataFrame, run_words: int = RUN_WORDS, run_bytes: int = RUN_BY
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunked = frozen(_chunked(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
     repeated = written(chunked.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "chunk-digests")
+    sized = frozen(chunked.select("row", "doc_id", "n_bytes", F.size("digests").cast("long").alias("n_chunks")), "chunk-sizes")
     places = frozen(_places(chunked, repeated, kind), "chunk-places")
+    dropped(chunked, repeated)
     place = F.struct(F.col("own").isNull().alias("nameless"), "own", "row", "begin", "before", "behind")
     ends = places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = places.join(written(ends, "chunk-ends"), "digest")
@@ -298,7 +301,6 @@ def repeats(docs: DataFrame, run_words: int = RUN_WORDS, run_bytes: int = RUN_BY
     again = again.select("row", "begin", "end", "size", "words", seen("before").alias("left"), seen("behind").alias("right"), later.alias("later"), F.col("first.own").alias("owner"))
     chunk = F.struct("begin", "end", "size", "words", "left", "right", "later", "owner")
     found = _passages(again.groupBy("row").agg(F.collect_list(chunk).alias("chunks")), kind, run_words, run_bytes)
-    sized = chunked.select("row", "doc_id", "n_bytes", F.size("digests").cast("long").alias("n_chunks"))
     out = sized.join(found, "row", "left")
     zero = F.lit(0).cast("long")
     out = out.withColumns({"spans": F.coalesce("spans", F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)"))})
