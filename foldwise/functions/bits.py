@@ -24,6 +24,12 @@ class BitReader:
         return int(part.ljust(n, "1"), 2)
 
     def symbol(self, codes: dict[str, int]) -> int:
+        short = getattr(codes, "short", None)
+        if short is not None:
+            found = short.get(self.bits[self.at : self.at + 8])
+            if found is not None:
+                self.at += found[0]
+                return found[1]
         for n in range(1, 17):
             found = codes.get(self.bits[self.at : self.at + n])
             if found is not None:
@@ -34,15 +40,23 @@ class BitReader:
         raise Damaged("no such code")
 
 
-def huffman(counts: bytes, symbols: bytes) -> dict[str, int]:
-    """Code as a bit string -> symbol, of a table as JPEG writes it: codes of each length in rising order."""
+class Codes(dict):
+    """Code as a bit string -> symbol; ``short`` has (length, symbol) for every eight bits that begin with a code of at most eight."""
+
+    def __init__(self, codes: dict[str, int]):
+        super().__init__(codes)
+        self.short = {code + f"{tail:0{8 - len(code)}b}" * (len(code) < 8): (len(code), symbol) for code, symbol in codes.items() if len(code) <= 8 for tail in range(1 << (8 - len(code)))}
+
+
+def huffman(counts: bytes, symbols: bytes) -> Codes:
+    """The codes of a table as JPEG writes it: those of each length in rising order."""
     out, code, at = {}, 0, 0
     for length, count in enumerate(counts, 1):
         for _ in range(count):
             out[f"{code:0{length}b}"] = symbols[at]
             code, at = code + 1, at + 1
         code <<= 1
-    return out
+    return Codes(out)
 
 
 def extend(value: int, size: int) -> int:

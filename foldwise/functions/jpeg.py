@@ -113,6 +113,7 @@ def encode(image: Coefficients) -> bytes:
     found = _layout(image.header)
     down, across = _units(found)
     tables = [tuple({s: c for c, s in t.items()} for t in (found["dc"][found["tables"][i][0]], found["ac"][found["tables"][i][1]])) for i, _, _ in found["parts"]]
+    planes = [_values(p) for p in image.planes]
     each, out = found["restart"] or down * across, [image.header]
     for number, first in enumerate(range(0, down * across, each)):
         bits, before = [], [0, 0, 0]
@@ -121,8 +122,7 @@ def encode(image: Coefficients) -> bytes:
             for c, (_, h, v) in enumerate(found["parts"]):
                 for j in range(v):
                     for i in range(h):
-                        block = image.planes[c][y * v + j, x * h + i]
-                        before[c] = _put(bits, block, *tables[c], before[c])
+                        before[c] = _put(bits, planes[c], (y * v + j) * across * h + x * h + i, *tables[c], before[c])
         text = "".join(bits)
         text = text.ljust(-(-len(text) // 8) * 8, "1")
         if number:
@@ -131,20 +131,25 @@ def encode(image: Coefficients) -> bytes:
     return b"".join([*out, image.tail, b"\xff\xd9"])
 
 
-def _put(bits: list[str], block: np.ndarray, dc: dict, ac: dict, before: int) -> int:
-    def value(code: str, size: int, own: int) -> None:
-        bits.append(code + (f"{own:0{size}b}" if size else ""))
-
-    size, own = magnitude(int(block[0]) - before)
-    value(dc[size], size, own)
-    at = 0
-    row = block[ZIGZAG]
-    for k in (np.flatnonzero(row[1:]) + 1).tolist():
-        gap = k - at - 1
-        bits.append(ac[0xF0] * (gap // 16) if gap > 15 else "")
-        size, own = magnitude(int(row[k]))
-        value(ac[(gap % 16) << 4 | size], size, own)
-        at = k
+def _values(plane: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(first coefficient of each block, where its others begin, their places, their values), zeros left out."""
+    rows = plane.reshape(-1, 64)[:, ZIGZAG]
+    blocks, places = np.nonzero(rows[:, 1:])
+    return rows[:, 0].tolist(), np.searchsorted(blocks, np.arange(len(rows) + 1)).tolist(), (places + 1).tolist(), rows[blocks, places + 1].tolist()
+
+
+def _put(bits: list[str], plane: tuple, block: int, dc: dict, ac: dict, before: int) -> int:
+    firsts, begins, places, values = plane
+    first, at = firsts[block], 0
+    size, own = magnitude(first - before)
+    bits.append(dc[size] + (f"{own:0{size}b}" if size else ""))
+    for i in range(begins[block], begins[block + 1]):
+        gap = places[i] - at - 1
+        if gap > 15:
+            bits.append(ac[0xF0] * (gap // 16))
+        size, own = magnitude(values[i])
+        bits.append(f"{ac[gap % 16 << 4 | size]}{own:0{size}b}")
+        at = places[i]
     if at < 63:
         bits.append(ac[0])
-    return int(block[0])
+    return first

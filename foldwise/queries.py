@@ -250,7 +250,7 @@ def _byte_sketch(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
 
     @pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        rabin, out = hashes.Rabin(16), []
+        rabin, out = hashes.Rabin(RABIN_WINDOW), []
         a, b = sketch.multipliers(4)
         for text in texts:
             data = (text or "").encode()
@@ -259,10 +259,32 @@ def _byte_sketch(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
                 out.append([int((x * a[m] + b[m]).max().view(np.int64)) if len(x) else 0 for m in range(4)])
         return pd.Series(out)
 
-    return _docs(spark, sf_dir).select("doc_id", of("text").alias("sf"))
+    return _docs(spark, sf_dir).select("doc_id", of("text").alias("sf")).select("doc_id", *[F.get("sf", m).alias(f"sf{m}") for m in range(4)])
 
 
-@query()
+RABIN_WINDOW = 16
+
+
+def _rabin_sql() -> str:
+    """Digests as exclusive ors of each byte's residue at its place, which is one of its bits' residues; features modulo 2**64."""
+    n, rabin = RABIN_WINDOW, hashes.Rabin(RABIN_WINDOW)
+    bits = ", ".join(f"({place}, {bit}, {int(table[1 << bit])}::BIGINT)" for place, table in enumerate(rabin._place_tables()) for bit in range(8))
+    digest = "t[1][b0 + 1]"
+    for k in range(1, n):
+        digest = f"xor({digest}, t[{k + 1}][b{k} + 1])"
+    values = ", ".join(f"coalesce(max((x::UHUGEINT * {int(a)}::UHUGEINT + {int(b)}::UHUGEINT) % 18446744073709551616::UHUGEINT), 0)::HUGEINT AS f{m}" for m, (a, b) in enumerate(zip(*sketch.multipliers(4), strict=True)))
+    signed = ", ".join(f"(f{m} - CASE WHEN f{m} >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS sf{m}" for m in range(4))
+    return f"""WITH bits(place, bit, v) AS (VALUES {bits}), entries AS (
+  SELECT place, byte, bit_xor(CASE WHEN (byte >> bit) & 1 = 1 THEN v ELSE 0 END) AS v FROM bits, range(256) r(byte) GROUP BY place, byte
+), places AS (SELECT place, list(v ORDER BY byte) AS l FROM entries GROUP BY place), tables AS (SELECT list(l ORDER BY place) AS t FROM places
+), octets AS (SELECT doc_id, unnest(range(0, strlen(text))) AS i, ('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')))::INT AS b0 FROM documents WHERE strlen(text) > 0
+), runs AS (SELECT doc_id, b0, {", ".join(f"lead(b0, {k}) OVER w AS b{k}" for k in range(1, n))} FROM octets WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), digests AS (SELECT doc_id, {digest} AS x FROM runs, tables WHERE b{n - 1} IS NOT NULL
+), f AS (SELECT documents.doc_id, {values} FROM documents LEFT JOIN digests ON digests.doc_id = documents.doc_id GROUP BY documents.doc_id
+) SELECT doc_id, {signed} FROM f"""
+
+
+@query(_rabin_sql())
 def rabin_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _byte_sketch(spark, sf_dir, "rabin")
 
@@ -574,7 +596,8 @@ IMAGE_BATCH = 2_000_000
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
-    return frozen(rendered.images(_docs(spark, sf_dir)), "images")
+    # rendering a text costs far more than moving it, and a small table is one partition
+    return frozen(rendered.images(_docs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")), "images")
 
 
 def _image_batches(spark: SparkSession, sf_dir: str, config: DedupConfig) -> DataFrame:
