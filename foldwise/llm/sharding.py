@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from foldwise.llm.base import frozen
 
 #: Rows of one cell, the piece of a shard that one task permutes.
-CELL_ROWS = 200_000
+CELL_ROWS = 50_000
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -41,6 +41,9 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
 
 def _split(rng: np.random.Generator, cells: np.ndarray, draws: int) -> np.ndarray:
     """Multivariate hypergeometric: what each cell gets of ``draws`` rows."""
+    if int(cells.sum()) < 1_000_000_000:
+        # the same draws, cell by cell, in one call
+        return rng.multivariate_hypergeometric(cells, int(draws), method="marginals")
     out, left, total = np.zeros_like(cells), int(draws), int(cells.sum())
     for i, size in enumerate(cells.tolist()):
         if not left:
