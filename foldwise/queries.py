@@ -262,7 +262,7 @@ def _byte_sketch(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", of("text").alias("sf")).select("doc_id", *[F.get("sf", m).alias(f"sf{m}") for m in range(4)])
 
 
-RABIN_WINDOW = 16
+RABIN_WINDOW = 8
 
 
 def _rabin_sql() -> str:
