@@ -19,7 +19,7 @@ from foldwise.plans.freeze import frozen
 from foldwise.sources import records
 
 #: Thread, queue and buffer options of other implementations: Spark schedules by itself.
-_SCHEDULING = {"read_thrd_num", "decode_thrd_num", "middle_thrd_num", "rejpeg_thrd_num", "write_thrd_num", "buffer_size", "road_num", "chaos", *(f"{x}_list" for x in "name read decd dect indx deup rejg jpeg encd".split())}
+_SCHEDULING = {"read_thrd_num", "decode_thrd_num", "middle_thrd_num", "rejpeg_thrd_num", "write_thrd_num", "buffer_size", *(f"{x}_list" for x in "name read decd dect indx deup rejg jpeg encd".split())}
 
 
 def compress(spark: SparkSession, source: str, target: str, config: DedupConfig) -> str:

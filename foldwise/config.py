@@ -30,6 +30,9 @@ class DedupConfig:
     data_type: str = "decoded"
     chunking: str = "v"
     patch_size: int = 1 << 30
+    #: Pipelines that fill batches of their own; with ``chaos`` they take files in turn, else whole directories.
+    road_num: int = 1
+    chaos: bool = False
     min_score: int = 1
     least_matched: float = 0.0
     collapse_runs: bool = False
@@ -50,6 +53,8 @@ class DedupConfig:
             raise ValueError("2df has dimension 1 or 2")
         if self.feature_method == "gear" and self.dimension == 2:
             raise ValueError("gear has no two-dimensional form")
+        if self.road_num < 1:
+            raise ValueError("road_num is 1 or more")
         if self.delta not in ("blocks", "bytes") or self.data_type not in ("decoded", "raw") or self.chunking not in ("v", "f"):
             raise ValueError("delta: blocks or bytes; data_type: decoded or raw; chunking: v or f")
 

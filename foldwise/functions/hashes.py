@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -29,17 +30,11 @@ class Rabin:
         self.window, self.polynomial, degree = window, polynomial, _degree(polynomial)
         self._tables: list[np.ndarray] | None = None
         self.shift, self.mask = degree - 8, (1 << degree) - 1
-        self.out = []
-        for b in range(256):
-            h = _mod(b, polynomial)
-            for _ in range(window - 1):
-                h = _mod(h << 8, polynomial)
-            self.out.append(h)
         self.reduce = [_mod(b << degree, polynomial) ^ (b << degree) for b in range(256)]
-        self.reset()
 
     def reset(self) -> None:
-        self.ring, self.place, self.digest = bytearray(self.window), 0, 0
+        # what leaves the window counts as its first byte
+        self.ring, self.place, self.digest, self.out = bytearray(self.window), 0, 0, self._place_tables()[0].tolist()
         self.slide(1)
 
     def slide(self, byte: int) -> int:
@@ -90,6 +85,12 @@ class Rabin:
         return self._tables[::-1]
 
 
+@lru_cache(16)
+def rabin(window: int) -> Rabin:
+    """A fingerprint whose tables are made once a process; only its window functions may be shared."""
+    return Rabin(window)
+
+
 def gear_table() -> np.ndarray:
     """256 random words from a counter."""
     with np.errstate(over="ignore"):
@@ -113,9 +114,10 @@ def gear(data: bytes) -> np.ndarray:
     return h
 
 
-def gear_block(block: bytes) -> int:
-    """Of a block of 128 bytes: the gear hashes of its halves, added."""
-    return (int(gear(block[:64])[-1]) + int(gear(block[64:128])[-1])) % (1 << 64)
+def gear_blocks(blocks: np.ndarray) -> np.ndarray:
+    """Of blocks of 128 bytes, (n, 128): the gear hashes of their halves, added."""
+    with np.errstate(over="ignore"):
+        return (GEAR[blocks.reshape(-1, 2, 64)] << np.arange(63, -1, -1, dtype=np.uint64)).sum(axis=(1, 2), dtype=np.uint64)
 
 
 def adler32(data: bytes) -> int:
@@ -144,6 +146,14 @@ def adler32_column(octets):
     return F.shiftleft((both["b"] + n) % ADLER, 16) + (both["a"] + 1) % ADLER
 
 
+def adler32_combine_column(one, two, length):
+    """:func:`adler32_combine` over columns."""
+    low = lambda x: x.bitwiseAND(0xFFFF)
+    a = F.pmod(low(one) + low(two) - 1, F.lit(ADLER))
+    b = F.pmod(F.shiftright(one, 16) + F.shiftright(two, 16) + length * (low(one) - 1), F.lit(ADLER))
+    return F.shiftleft(b, 16) + a
+
+
 def octets(text):
     """A string's UTF-8 bytes as an array of numbers."""
     pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.config import DedupConfig
-from foldwise.functions.hashes import Rabin, gear, gear_block
+from foldwise.functions.hashes import gear, gear_blocks, rabin
 from foldwise.sources.records import hash28, let, lines, words
 
 SLOTS, PRIME = 10, 2147483647
@@ -146,18 +146,18 @@ def exact_sketch(planes: list[np.ndarray], raw: bytes, config: DedupConfig) -> d
                     parts.append(x)
         x = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     elif config.feature_method == "gear" and config.dimension != 1:
-        x = np.array([gear_block(t.astype("<i2").tobytes()) for t in luma.reshape(-1, 64)], np.uint64)
+        x = gear_blocks(np.ascontiguousarray(luma.astype("<i2")).view(np.uint8).reshape(-1, 128))
     else:
         blocks = np.ascontiguousarray(luma.astype("<i2")).view(np.uint8).reshape(*luma.shape[:2], 128)
         data = raw if config.data_type == "raw" else blocks.tobytes()
         if config.feature_method == "gear":
             x = gear(data)[63:]
         elif config.dimension == 1:
-            x = Rabin(config.block_size).windows(data)
+            x = rabin(config.block_size).windows(data)
         elif config.dimension == 2:
-            x = Rabin(config.block_size**2 * 128).grids(blocks, config.block_size)
+            x = rabin(config.block_size**2 * 128).grids(blocks, config.block_size)
         else:
-            x = Rabin(config.block_size * 128).windows(blocks.tobytes(), 128)
+            x = rabin(config.block_size * 128).windows(blocks.tobytes(), 128)
     if not len(x):
         return {"sf": [0] * config.sf_num, "pos": [0] * config.sf_num, "dc": [0] * config.sf_num, "windows": 0}
     best = np.zeros(n, np.int64)

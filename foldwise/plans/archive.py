@@ -6,6 +6,7 @@ import struct
 import time
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -151,16 +152,27 @@ def scan(spark: SparkSession, path: str, config: DedupConfig) -> DataFrame:
 def batched(files: DataFrame, config: DedupConfig) -> DataFrame:
     """``files`` (path, dir, length, content) with batch and seq; only names and lengths are ordered, contents are joined."""
     keys = files.select("path", "dir", "length")
-    if config.chunking == "v":
-        keys = keys.join(records.variable_batches(keys.select("dir", F.col("length").alias("size")), config.patch_size, "dir").select("dir", "batch"), "dir")
+    if config.road_num > 1:
+        # a road's files are of the same number modulo the roads: files in turn, or whole directories
+        keys = keys.withColumn("road", F.pmod(F.xxhash64("path" if config.chaos else "dir"), F.lit(config.road_num)))
+        roads = [_filled(keys.where(F.col("road") == r), config).withColumn("batch", F.col("batch") * config.road_num + r) for r in range(config.road_num)]
+        keys = reduce(DataFrame.unionByName, roads)
     else:
-        keys = records.fixed_batches(keys, config.patch_size, ["dir", "path"], "length")
+        keys = _filled(keys, config)
     # a batch is bounded by its bytes, so one task can number it
     order = Window.partitionBy("batch").orderBy("path")
     keys = frozen(keys.select("path", "batch", F.row_number().over(order).cast("long").alias("seq")), "batches")
     return files.join(keys, "path")
 
 
+def _filled(keys: DataFrame, config: DedupConfig) -> DataFrame:
+    """``keys`` (path, dir, length) with batch: by directories that reach the patch size, or by files."""
+    if config.chunking == "f":
+        return records.fixed_batches(keys, config.patch_size, ["dir", "path"], "length")
+    dirs = records.variable_batches(keys.select("dir", F.col("length").alias("size")), config.patch_size, "dir").select(F.col("dir").alias("own"), "batch")
+    return keys.join(dirs, keys["dir"].eqNullSafe(dirs["own"])).drop("own")
+
+
 _SKETCH = "path string, batch long, seq long, length long, ok boolean, decoded long, luma long, sf array<long>, pos array<long>, dc array<long>"
 
 

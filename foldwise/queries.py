@@ -225,13 +225,25 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.matched(_docs(spark, sf_dir), _best(spark, sf_dir)).select("doc_id", "source")
 
 
-@query("""WITH o AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS hx, unnest(range(0, strlen(text))) AS i, strlen(text) AS n FROM documents WHERE strlen(text) > 0)
+_ADLER = """WITH o AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS hx, unnest(range(0, strlen(text))) AS i, strlen(text) AS n FROM documents WHERE strlen(text) > 0)
 SELECT doc_id, (((sum((n - i) * ('0x' || hx)::BIGINT) + any_value(n)) % 65521)::BIGINT << 16) + ((1 + sum(('0x' || hx)::BIGINT)) % 65521)::BIGINT AS adler FROM o GROUP BY doc_id
-UNION ALL SELECT doc_id, CASE WHEN text IS NOT NULL THEN 1 END AS adler FROM documents WHERE coalesce(strlen(text), 0) = 0""")
+UNION ALL SELECT doc_id, CASE WHEN text IS NOT NULL THEN 1 END AS adler FROM documents WHERE coalesce(strlen(text), 0) = 0"""
+
+
+@query(_ADLER)
 def adler32_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.when(F.col("text").isNotNull(), hashes.adler32_column(hashes.octets(F.col("text")))).alias("adler"))
 
 
+@query(_ADLER)
+def adler32_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksums of two halves of each text, put together."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = _docs(spark, sf_dir).select("doc_id", F.substring("text", F.lit(1), half).alias("one"), F.substring("text", half + 1, F.length("text")).alias("two"))
+    sums = parts.select("doc_id", *[F.when(F.col(c).isNotNull(), hashes.adler32_column(hashes.octets(F.col(c)))).alias(c) for c in ("one", "two")], F.octet_length("two").cast("long").alias("length"))
+    return sums.select("doc_id", hashes.adler32_combine_column(F.col("one"), F.col("two"), F.col("length")).alias("adler"))
+
+
 @query(f"WITH {_BLOCKS} SELECT vec_id, ((c[1]::BIGINT << 24) | (c[9]::BIGINT & 65280) | (c[10]::BIGINT & 255)) & 4294967295 AS h FROM (SELECT vec_id, list_transform(c, lambda v: v & 4294967295::BIGINT) AS c FROM blocks)")
 def dc_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.blocks(records.table(spark, sf_dir, "embeddings"))
@@ -272,7 +284,7 @@ def _rabin_sql() -> str:
     digest = "t[1][b0 + 1]"
     for k in range(1, n):
         digest = f"xor({digest}, t[{k + 1}][b{k} + 1])"
-    values = ", ".join(f"coalesce(max((x::UHUGEINT * {int(a)}::UHUGEINT + {int(b)}::UHUGEINT) % 18446744073709551616::UHUGEINT), 0)::HUGEINT AS f{m}" for m, (a, b) in enumerate(zip(*sketch.multipliers(4), strict=True)))
+    values = ", ".join(f"coalesce(max((x::UHUGEINT * {int(a)}::UHUGEINT + {int(b)}::UHUGEINT) & 18446744073709551615::UHUGEINT), 0)::HUGEINT AS f{m}" for m, (a, b) in enumerate(zip(*sketch.multipliers(4), strict=True)))
     signed = ", ".join(f"(f{m} - CASE WHEN f{m} >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS sf{m}" for m in range(4))
     return f"""WITH bits(place, bit, v) AS (VALUES {bits}), entries AS (
   SELECT place, byte, bit_xor(CASE WHEN (byte >> bit) & 1 = 1 THEN v ELSE 0 END) AS v FROM bits, range(256) r(byte) GROUP BY place, byte
@@ -574,18 +586,37 @@ def vli_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", bits.alias("bits"), F.aggregate("c", zero, lambda s, v: s + (v != 0).cast("long")).alias("symbols"))
 
 
-@query()
+@query(f"WITH {_BLOCKS}, e AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(c) AS v FROM blocks) SELECT vec_id // 64 AS part, count(DISTINCT vec_id) AS blocks, sum(i * v * (vec_id % 64 + 1))::BIGINT AS checksum FROM e GROUP BY 1")
 def residual_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run of 64 blocks packed into a residual container and read back."""
+    """Each run of 64 blocks packed into a residual container, written, and read back; the checksum is that of the blocks read."""
     foldwise.ship(spark)
 
-    def run(key, rows):
-        blocks = np.stack(rows.sort_values("vec_id")["c"].to_list())
-        data = codecs.pack_residual(blocks)
-        return pd.DataFrame([(key[0], len(blocks), len(data), bool((codecs.unpack_residual(data) == blocks).all()))], columns=["part", "blocks", "bytes", "restored"])
+    def pack(key, rows):
+        rows = rows.sort_values("vec_id")
+        return pd.DataFrame([(key[0], rows["vec_id"].to_list(), codecs.pack_residual(np.stack(rows["c"].to_list())))], columns=["part", "ids", "data"])
+
+    @pandas_udf("long")
+    def checksum(ids: pd.Series, data: pd.Series) -> pd.Series:
+        weights = [(np.asarray(i) % 64 + 1)[:, None] * np.arange(1, 65) for i in ids]
+        return pd.Series([int((codecs.unpack_residual(bytes(d)) * w).sum()) for d, w in zip(data, weights, strict=True)])
 
     rows = records.blocks(records.table(spark, sf_dir, "embeddings")).withColumn("part", F.floor(F.col("vec_id") / 64))
-    return rows.groupBy("part").applyInPandas(run, "part long, blocks long, bytes long, restored boolean")
+    packed = frozen(rows.groupBy("part").applyInPandas(pack, "part long, ids array<long>, data binary"), "residuals")
+    return packed.select("part", F.size("ids").cast("long").alias("blocks"), checksum("ids", "data").alias("checksum"))
+
+
+@query(f"WITH RECURSIVE {_FIXED} SELECT t, count(*) AS runs, sum(x)::BIGINT AS sum_x, sum(len)::BIGINT AS sum_len FROM runs GROUP BY t")
+def instruction_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of each target's instructions, coded where that is smaller, and read back."""
+    foldwise.ship(spark)
+
+    @pandas_udf("struct<runs:long,sum_x:long,sum_len:long>")
+    def back(x: pd.Series, length: pd.Series) -> pd.DataFrame:
+        read = [[codecs.unpack_column(*codecs.pack_column(list(v))) for v in column] for column in (x, length)]
+        return pd.DataFrame({"runs": [len(v) for v in read[0]], "sum_x": [sum(v) for v in read[0]], "sum_len": [sum(v) for v in read[1]]})
+
+    runs = delta.fixed_point(_pairs_with_text(spark, sf_dir)).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("y", "x", "len"))).alias("r"))
+    return runs.select("t", back(F.col("r.x"), F.col("r.len")).alias("b")).select("t", "b.*")
 
 
 # ---- images: every text as a baseline JPEG ----
@@ -662,6 +693,28 @@ def image_restore_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _image_facts(archive.restore(archive.composed(packed), originals))
 
 
+@query()
+def image_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first super-feature of each file by every method: feature maps of both dimensions, Rabin over squares, bytes and blocks, gear over bytes and blocks."""
+    methods = [("2df", 2, 2), ("2df", 1, 2), ("rabin", 2, 2), ("rabin", 1, 16), ("rabin", 3, 2), ("gear", 1, 2), ("gear", 3, 2)]
+    configs = [DedupConfig(feature_method=m, dimension=d, block_size=b) for m, d, b in methods]
+
+    @pandas_udf("array<long>")
+    def firsts(contents: pd.Series) -> pd.Series:
+        out = []
+        for data in contents:
+            try:
+                planes = jpeg.decode(bytes(data)).planes
+            except (Damaged, IndexError, KeyError, ValueError):
+                out.append(None)
+                continue
+            out.append([sketch.exact_sketch(planes, bytes(data), c)["sf"][0] for c in configs])
+        return pd.Series(out)
+
+    made = _images(spark, sf_dir).select("path", firsts("content").alias("sf"))
+    return made.select("path", *[F.get("sf", i).alias(f"{m}{d}") for i, (m, d, _) in enumerate(methods)])
+
+
 @query()
 def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compression report's numbers, batch by batch and in total."""

@@ -142,10 +142,23 @@ def test_archive_round_trip(spark, photos, config, tmp_path):
         assert archive.mismatches(archive.restore(short, originals), files).count() == 0
 
 
+def test_roads_fill_batches_of_their_own(spark):
+    rows = spark.createDataFrame([(f"{d}/{i}", f"{d}", 10, b"") for d in range(6) for i in range(4)], "path string, dir string, length long, content binary")
+    for chaos in (False, True):
+        found = archive.batched(rows, DedupConfig(road_num=3, chaos=chaos, chunking="f", patch_size=20)).collect()
+        assert len(found) == 24 and len({r["path"] for r in found}) == 24
+        roads: dict = {}
+        for r in found:
+            roads.setdefault(r["batch"] % 3, []).append(r)
+        assert all(len({r["dir"] for r in rs}) * 4 == len(rs) for rs in roads.values()) or chaos
+        sizes = [sum(x["batch"] == b for x in found) for b in {r["batch"] for r in found}]
+        assert max(sizes) == 2 and sum(sizes) == 24
+
+
 def test_command_line_round_trip(spark, photos, tmp_path):
     from foldwise import __main__ as cli
 
-    for options in ({"patch_size": "1K"}, {"delta": "bytes", "chunking": "f"}):
+    for options in ({"road_num": "2"}, {"delta": "bytes", "chunking": "f"}):
         packed, out = tmp_path / f"packed{len(options)}", tmp_path / f"out{len(options)}"
         report = cli.compress(spark, str(photos), str(packed), DedupConfig.from_options(options))
         assert "similarity" in report and (packed / "report.txt").read_text() == report
