@@ -202,11 +202,12 @@ def test_phrases_against_brute_force(spark):
 
 
 def test_a_template_with_words_left_out_or_put_in(spark):
-    text = licenses.TEMPLATES[1][1].split(" ")
+    text = next(t for label, t in licenses.TEMPLATES if label == "bsd-text").split(" ")
     whole, changed = " ".join(text), " ".join(text[:8] + ["really"] + text[8:14] + text[15:])
-    docs = [(1, f"intro {whole} outro"), (2, f"a b c {changed}"), (3, " ".join(text[:6])), (4, " ".join(reversed(text)))]
+    docs = [(1, f"intro {whole} outro"), (2, f"a b c {changed}"), (3, " ".join(text[:6])), (4, " ".join(reversed(text))), (5, "All rights reserved. " * 6)]
     found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert {i: r["labels"] for i, r in found.items()} == {1: "bsd-text", 2: "bsd-text", 3: "", 4: ""}
+    assert {i: r["labels"] for i, r in found.items()} == {1: "bsd-text", 2: "bsd-text", 3: "", 4: "", 5: "rights-reserved"}
+    assert [x["begin"] for x in found[5]["spans"]] == [0, 3, 6, 9, 12, 15]
     assert found[1]["score"] == 1.0 and 0.7 <= found[2]["score"] < 1 and found[3]["score"] == 0
 
 
