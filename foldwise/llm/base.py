@@ -18,7 +18,8 @@ from foldwise.plans.freeze import frozen
 SLICE_BYTES = 2 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Java asks a class of single characters one bit set, but walks over the ranges of a class: a tenth of the time.
+ALNUM_WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

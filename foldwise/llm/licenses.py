@@ -56,12 +56,12 @@ TEMPLATES = [
 
 
 def words_of(text):
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(f"({ALNUM_WORD})"), F.lit(1))
+    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
 
 
 def n_words(text):
     """Their number, without making them or folding case."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(ALNUM_WORD)).cast("long")
 
 
 def known_templates(phrases=None, templates=None) -> list[tuple[int, str, bool, int, list[str]]]:
