@@ -1,4 +1,6 @@
 import random
+import struct
+import time
 
 import numpy as np
 import pytest
@@ -6,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from foldwise.config import DedupConfig, parse_size
-from foldwise.functions import codecs, hashes, tans, vcdiff
+from foldwise.functions import codecs, hashes, jpeg, tans, vcdiff
 from foldwise.operators import delta
+from foldwise.sources import rendered
 
 blocks = st.lists(st.lists(st.integers(-1023, 1023) | st.just(0), min_size=64, max_size=64), max_size=4)
 
@@ -171,3 +174,46 @@ def test_options():
     for bad in ({"feature_method": "gear"}, {"sf_num": 40, "sf_component_num": 2}, {"block_size": 1}):
         with pytest.raises(ValueError):
             DedupConfig(**bad)
+
+
+def _header(sampling, ends, restart):
+    """Tables, frame and scan; the code of a block's end has four bits, and what it is in the tables of the other planes is for ``ends`` to say."""
+    segment = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    others = [0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    tables = b"".join(segment(0xC4, bytes([0x10 | i, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 161, 0, 0, 0, 0, symbols[0], *symbols[1:]])) for i, symbols in enumerate(([0, *others], [others[ends], 0, *others[:ends], *others[ends + 1 :]])))
+    first = b"".join(segment(0xC4, bytes([i, 0, 0, 0, 12, *[0] * 12, *(range(12) if not i else range(11, -1, -1))])) for i in range(2))
+    frame = struct.pack(">BHHB", 8, 70, 90, 3) + bytes([1, sampling, 0, 2, 0x11, 0, 3, 0x11, 0])
+    return b"\xff\xd8" + segment(0xC0, frame) + tables + first + (segment(0xDD, struct.pack(">H", restart)) if restart else b"") + segment(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0]))
+
+
+@pytest.mark.parametrize("restart", [0, 5])
+@pytest.mark.parametrize("sampling", [0x11, 0x22, 0x21])
+def test_images_of_equal_blocks_and_other_tables(sampling, restart):
+    # blocks and their first tables are the same in both files, the tables of the other planes are not
+    rng = np.random.default_rng(sampling)
+    h, v = divmod(sampling, 16)
+    down, across = -(-70 // (8 * v)), -(-90 // (8 * h))
+    few = rng.integers(-40, 40, (3, 64)) * (rng.random((3, 64)) < 0.2)
+    few[1, 63] = 7
+    planes = [few[rng.integers(0, 3, (down * y, across * x))].astype(np.int16) for x, y in ((h, v), (1, 1), (1, 1))]
+    planes[1][::2] = planes[2][:, ::2] = 0
+    for ends in (0, 9, 0):
+        image = jpeg.Coefficients(_header(sampling, ends, restart), planes, b"")
+        data = jpeg.encode(image)
+        assert all((p == q).all() for p, q in zip(jpeg.decode(data).planes, planes, strict=True))
+        assert jpeg.encode(jpeg.decode(data)) == data
+        with pytest.raises(jpeg.Damaged):
+            jpeg.decode(data[: len(image.header) + 40] + b"\xff\xd9" if not restart else data[:-42] + b"\xff\xd9")
+
+
+def test_a_long_text_is_rendered_read_and_written_in_a_moment():
+    # a symbol at a time, these 20000 words took a second
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(2000)}" for _ in range(20_000))
+    times = []
+    for _ in range(3):
+        began = time.process_time()
+        data = rendered.image(text)
+        assert jpeg.encode(jpeg.decode(data)) == data
+        times.append(time.process_time() - began)
+    assert min(times) < 0.4
