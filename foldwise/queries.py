@@ -635,6 +635,10 @@ def _image_batches(spark: SparkSession, sf_dir: str, config: DedupConfig) -> Dat
     return frozen(archive.batched(_images(spark, sf_dir), config), "image-batches")
 
 
+def _image_id():
+    return F.regexp_extract("path", r"([0-9-]+)\.jpg$", 1).cast("long")
+
+
 def _image_facts(files: DataFrame) -> DataFrame:
     """What the coefficients of each decodable file say: its size in pixels, the sum of first coefficients, how many are not zero, and whether encoding them gives the file again."""
 
@@ -645,12 +649,12 @@ def _image_facts(files: DataFrame) -> DataFrame:
             try:
                 own = jpeg.decode(bytes(data))
                 luma = own.planes[0]
-                rows.append((8 * luma.shape[1], 8 * luma.shape[0], int(luma[:, :, 0].sum(dtype="int64")), sum(int((p != 0).sum()) for p in own.planes), jpeg.encode(own) == bytes(data)))
+                rows.append((8 * luma.shape[1], 8 * luma.shape[0], int(luma[:, :, 0].sum(dtype="int64")), sum(int(np.count_nonzero(p)) for p in own.planes), jpeg.encode(own) == bytes(data)))
             except (Damaged, IndexError, KeyError, ValueError):
                 rows.append((None, None, None, None, None))
         return pd.DataFrame(rows, columns=["width", "height", "dc_sum", "nonzero", "same"])
 
-    return files.select(F.regexp_extract("path", r"([0-9-]+)\.jpg$", 1).cast("long").alias("doc_id"), facts("content").alias("f")).select("doc_id", "f.*")
+    return files.select(_image_id().alias("doc_id"), facts("content").alias("f")).select("doc_id", "f.*")
 
 
 _HEX = " + ".join(f"(('0x' || substr(m, {2 * i + 1}, 2))::BIGINT // 32 <> 4)::BIGINT" for i in range(1, rendered.COEFFICIENTS))
@@ -669,7 +673,19 @@ def image_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, strlen(text) AS text_bytes FROM documents WHERE text IS NULL")
 def image_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that cannot be decoded."""
-    found = _image_facts(_images(spark, sf_dir)).where("width is null").select("doc_id")
+
+    @pandas_udf("boolean")
+    def damaged(contents: pd.Series) -> pd.Series:
+        out = []
+        for data in contents:
+            try:
+                jpeg.decode(bytes(data))
+                out.append(False)
+            except (Damaged, IndexError, KeyError, ValueError):
+                out.append(True)
+        return pd.Series(out, dtype=bool)
+
+    found = _images(spark, sf_dir).where(damaged("content")).select(_image_id().alias("doc_id"))
     return _docs(spark, sf_dir).join(found, "doc_id").select("doc_id", F.octet_length("text").cast("long").alias("text_bytes"))
 
 
