@@ -78,7 +78,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of an odd multiplier and of its inverse, modulo 2**64, for n places."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, 2 * len(_powers[0]) if _powers else SLICE_BYTES // 2)
         made = []
         for base in (_P, _P_INVERSE):
             steps = np.full(size, base, dtype=np.uint64)

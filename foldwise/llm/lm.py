@@ -17,8 +17,10 @@ from foldwise.llm.base import SPACED, frozen, mixed, slices, splitmix, text_buff
 FILTER_BYTES, BITS, PROBES = 8 << 20, 10, 4
 #: Most token types in the broadcast table of exact counts; rarer types are joined.
 FREQUENT_TYPES = 1 << 19
-#: Tokens that a task counts before it hands on what it has, and bytes of text whose n-grams are asked for together.
-FLUSH_TOKENS, ASK_BYTES = 1 << 20, 4 << 20
+#: Tokens that a task counts before it hands on what it has, bytes of text whose n-grams are asked for together, and n-grams that are answered together.
+FLUSH_TOKENS, ASK_BYTES, ANSWERED = 1 << 20, 4 << 20, 1 << 20
+#: Bytes of whole texts whose words are hashed together: a hash in the making takes many times its word's bytes.
+HASHED_BYTES = 1 << 20
 #: Weight of the bigram estimate against the unigram one where the history is known.
 BIGRAM_WEIGHT = 0.3
 
@@ -33,9 +35,15 @@ NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_scor
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes of all rows, first token of each row and one more); every row ends with the end token."""
-    starts, _, first = word_spans(data, offsets, SPACED)
-    hashes = np.insert(word_hashes(data, starts, SPACED), first[1:], _END)
-    return hashes, first + np.arange(len(first))
+    hashes, first, row = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while row < len(offsets) - 1:
+        after = max(row + 1, int(np.searchsorted(offsets, offsets[row] + HASHED_BYTES, side="right")) - 1)
+        part = data[offsets[row] : offsets[after]]
+        starts, _, words = word_spans(part, offsets[row : after + 1] - offsets[row], SPACED)
+        hashes.append(np.insert(word_hashes(part, starts, SPACED), words[1:], _END))
+        first.append(first[-1][-1] + words[1:] + np.arange(1, len(words)))
+        row = after
+    return np.concatenate(hashes), np.concatenate(first)
 
 
 def pairs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +246,7 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_types: int
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
     # several ranges a partition, so that tasks of some ranges each are alike
-    buckets = 4 << max(2, math.ceil(math.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))))
+    buckets = 2 << max(3, math.ceil(math.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))))
     summed = written(_summed(_counted(rows.where("not held_out"), buckets)), "lm-counts")
     histogram = _histogram(summed)
     by_kind = [[(r["count"], r["types"]) for r in histogram if r["kind"] == k] for k in (0, 1)]
@@ -360,15 +368,26 @@ def _ranged(rows: DataFrame, summed: DataFrame, segment_bits: int, buckets: int,
     def answer(left, right):
         bits = _filled(right, LEAST, segment_bits)
         hashes, counts = _arrays(right, 0)
-        levels, numbers = [], []
-        for k, data in zip(left.column("kind").to_pylist(), left.column("hashes"), strict=True):
-            own = _unpacked(data.as_py())
-            levels.append(probed(bits, own, k, segment_bits, 1).astype(np.uint8).tobytes())
-            exact = np.zeros(len(own) if k == 0 else 0, np.int64)
-            if len(exact) and len(hashes):
-                spot = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                exact = np.where(hashes[spot] == own, counts[spot], 0)
-            numbers.append(_narrow(exact))
+        kinds, asked = left.column("kind").to_numpy(), [_unpacked(data.as_py()) for data in left.column("hashes")]
+        levels, numbers = [b""] * len(asked), [_narrow(np.zeros(0, np.int64))] * len(asked)
+        for k in (0, 1):
+            rows = np.flatnonzero(kinds == k)
+            # a range has a row of each slice, so these grow more in number than in size: they are answered many at a time
+            runs = np.cumsum([len(asked[i]) for i in rows]) // ANSWERED
+            for run in np.unique(runs):
+                some = rows[runs == run]
+                own = np.concatenate([asked[i] for i in some])
+                found = probed(bits, own, k, segment_bits, 1).astype(np.uint8)
+                exact = np.zeros(len(own) if k == 0 else 0, np.int64)
+                if len(exact) and len(hashes):
+                    spot = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    exact = np.where(hashes[spot] == own, counts[spot], 0)
+                end = 0
+                for i in some:
+                    begin, end = end, end + len(asked[i])
+                    levels[i] = found[begin:end].tobytes()
+                    if k == 0:
+                        numbers[i] = _narrow(exact[begin:end])
         return pa.table({"slice": left.column("slice"), "kind": left.column("kind"), "bucket": left.column("bucket"), "levels": pa.array(levels, pa.binary()), "counts": pa.array(numbers, pa.binary())})
 
     def scores(left, right):

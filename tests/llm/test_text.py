@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -231,6 +232,31 @@ def test_licenses_of_odd_rows(odd, none):
 # ---- language model ----
 
 
+def test_tokens_are_hashed_in_little_memory():
+    # a whole slice took 10.7 bytes for each of its own, beside tables of 67 MB
+    rng = random.Random(3)
+    texts = [" ".join(f"Wörd{rng.randrange(10**rng.randrange(1, 6))}" for _ in range(rng.randrange(400))) for _ in range(2500)] + ["", " ", "x"]
+    data, offsets = base.text_buffers(pa.array(texts))
+    assert len(data) > lm.ASK_BYTES
+    lm.tokens(data, offsets)
+    tracemalloc.start()
+    hashes, first = lm.tokens(data, offsets)
+    assert tracemalloc.get_traced_memory()[1] < 6 * len(data)
+    tracemalloc.stop()
+    assert len(first) == len(texts) + 1 and first[-1] == len(hashes)
+    for i in (0, 1, 1200, 2499, 2500, 2501, 2502):
+        assert hashes[first[i] : first[i + 1]].tolist() == [*(base.hash_word(w) for w in texts[i].split()), int(lm._END)]
+
+
+def test_answers_do_not_depend_on_how_many_are_made_together(spark, monkeypatch):
+    docs = base.table(spark, DATA, "documents")
+    want = sorted(map(tuple, lm.score(docs, filter_bytes=0).collect()))
+    monkeypatch.setattr(lm, "ANSWERED", 50)
+    monkeypatch.setattr(lm, "ASK_BYTES", 1 << 15)
+    found = sorted(map(tuple, lm.score(docs, filter_bytes=0).collect()))
+    assert len(found) == len(want) and all(a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-12) for a, b in zip(found, want, strict=True))
+
+
 def test_base_score_against_brute_force(spark):
     docs = documents(spark)
     own = {r["doc_id"]: [*words(r["text"]), None] for r in docs}
