@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.config import DedupConfig
-from foldwise.functions.hashes import gear, gear_blocks, rabin
+from foldwise.functions.hashes import GEAR, gear, gear_blocks, rabin
 from foldwise.sources.records import hash28, let, lines, words
 
 SLOTS, PRIME = 10, 2147483647
@@ -171,3 +172,126 @@ def exact_sketch(planes: list[np.ndarray], raw: bytes, config: DedupConfig) -> d
         sf = fold(top).view(np.int64)
         zero = np.zeros(config.sf_num, np.int64)
         return {"sf": sf.tolist(), "pos": (fold(pos[best]) if pos is not None else zero).tolist(), "dc": (fold(dc[best].astype(np.int64)) if dc is not None else zero).tolist(), "windows": len(x)}
+
+
+# ---- of many images at once ----
+
+#: Coefficients of a block behind which there are zeros, in images that are sketched together, and bytes of these.
+_HEAD = 32
+
+
+def first_super_features(images: list[tuple[list[np.ndarray], bytes]], configs: list[DedupConfig]) -> list[list[int]]:
+    """The first super-feature of each (planes, file) by each config, as :func:`exact_sketch` has it.
+
+    Each kind of block is hashed once for all images, as long as windows of bytes
+    meet only zeros in the second half of the block before; other images and configs
+    go through :func:`exact_sketch`.
+    """
+    plain = [not planes[0][:, :, _HEAD:].any() for planes, _ in images]
+    out: list[list[int]] = [[0] * len(configs) for _ in images]
+    own = [i for i, p in enumerate(plain) if p]
+    if own:
+        shapes = [images[i][0][0].shape[:2] for i in own]
+        kinds, of = _kinds(np.concatenate([images[i][0][0][:, :, :_HEAD].reshape(-1, _HEAD) for i in own]))
+        octets = np.ascontiguousarray(kinds, "<i2").view(np.uint8)
+        present = {k: octets[:, k].copy() for k in np.flatnonzero(octets.any(axis=0)).tolist()}
+        ids = [k.reshape(shape) for k, shape in zip(np.split(of, np.cumsum([h * w for h, w in shapes])[:-1]), shapes, strict=True)]
+    for j, config in enumerate(configs):
+        way = _together(kinds, present, config) if own and not config.uniform_sample else None
+        for i, k in zip(own, ids, strict=True) if way else ():
+            out[i][j] = way(k)
+        for i in range(len(images)):
+            if not way or not plain[i]:
+                out[i][j] = exact_sketch(*images[i], config)["sf"][0]
+    return out
+
+
+def _kinds(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows, which of them each row is) of rows of 32 numbers of 16 bits."""
+    words = np.ascontiguousarray(heads).view(np.uint64)
+    with np.errstate(over="ignore"):
+        keys = ((words ^ (words >> np.uint64(29))) * multipliers(words.shape[1])[0]).sum(axis=1, dtype=np.uint64)
+    of, different = pd.factorize(keys ^ (keys >> np.uint64(32)))
+    first = np.empty(len(different), np.int64)
+    first[of[::-1]] = np.arange(len(of))[::-1]
+    if (words[first][of] == words).all():
+        return heads[first], of
+    # two kinds with one key
+    different, of = np.unique(words, axis=0, return_inverse=True)
+    return different.view(np.int16), of.ravel()
+
+
+def _together(kinds: np.ndarray, present: dict[int, np.ndarray], config: DedupConfig):
+    """The first super-feature of an image from the numbers of its blocks' kinds, or None if that takes more than the blocks' first halves; ``present`` has the bytes of all kinds at places where not all are 0."""
+    method, dimension, size = config.feature_method, config.dimension, config.block_size
+    a, b = (x[: config.sf_component_num] for x in multipliers(config.features))
+    signed = lambda tops: int(np.array(tops, np.uint64).sum(dtype=np.uint64).view(np.int64))
+
+    def greatest(x: np.ndarray) -> int:
+        with np.errstate(over="ignore"):
+            return signed([(x * k + c).max() for k, c in zip(a, b, strict=True)]) if x.size else 0
+
+    if method == "2df":
+        bits, width = bitmap(np.pad(kinds, ((0, 0), (0, 64 - _HEAD)))[None], size)[0], np.uint64(64 // size**2)
+
+        def feature(ids: np.ndarray) -> int:
+            rows, columns = ids.shape
+            across, steps = (columns - size + 1, [(i, j) for j in range(size) for i in range(size)]) if dimension == 2 else (columns - size * size + 1, [(0, j) for j in range(size * size)])
+            down = rows - size + 1 if dimension == 2 else rows
+            if down < 1 or across < 1:
+                return 0
+            own, x = bits[ids], np.zeros((down, across), np.uint64)
+            for i, j in steps:
+                x = (x << width) | own[i : i + down, j : j + across]
+            return greatest(x)
+
+        return feature
+    if config.data_type == "raw" and dimension == 1:
+        return None
+    if method == "rabin" and dimension != 1:
+        squares = dimension == 2
+        window = rabin((size**2 if squares else size) * 128)
+        shares = [window.shares(present, 128 * i) + np.zeros(len(kinds), np.uint64) for i in range(window.window // 128)]
+
+        def feature(ids: np.ndarray) -> int:
+            ids = ids if squares else ids.reshape(1, -1)
+            steps = [(y, x) for x in range(size) for y in range(size)] if squares else [(0, x) for x in range(size)]
+            down, across = ids.shape[0] - (size - 1 if squares else 0), ids.shape[1] - size + 1
+            if down < 1 or across < 1:
+                return 0
+            out = np.zeros((down, across), np.uint64)
+            for own, (y, x) in zip(shares, steps, strict=True):
+                out ^= own[ids[y : y + down, x : x + across]]
+            return greatest(out)
+
+        return feature
+    # the windows that begin in a block's zeros and end in the next one, then those within a block
+    window = 64 if method == "gear" else size
+    if window > 64:
+        return None
+    tops = np.zeros((2, len(a), len(kinds)), np.uint64)
+    halves = method == "gear" and dimension == 3
+    with np.errstate(over="ignore"):
+        # what the windows are of which all bytes are 0
+        none = GEAR[0] * np.uint64((1 << 64) - 1) if method == "gear" else np.uint64(0)
+        state, digest = np.full(len(kinds), none), rabin(window) if method == "rabin" else None
+        for end in range(64 if halves else 128):
+            some = max(present, default=-1) > end - window and min(present, default=128) <= end
+            if not some:
+                state = none
+            elif digest:
+                state = digest.shares(present, window - 1 - end)
+            else:
+                state = (state << np.uint64(1)) + (GEAR[present[end]] if end in present else GEAR[0])
+            for top, k, c in zip(tops[int(end >= window - 1)], a, b, strict=True) if not halves else ():
+                if some or end in (0, 127):
+                    np.maximum(top, state * k + c, out=top)
+        if halves:
+            both = state + none + np.zeros(len(kinds), np.uint64)
+            return lambda ids: greatest(both[ids])
+
+    def feature(ids: np.ndarray) -> int:
+        ids = ids.ravel()
+        return signed([max(inside[ids].max(), over[ids[1:]].max(initial=0)) for over, inside in zip(*tops, strict=True)]) if len(ids) else 0
+
+    return feature

@@ -623,12 +623,18 @@ def instruction_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bytes of a batch of images in the registered queries.
 IMAGE_BATCH = 2_000_000
+#: Blocks of first planes that are sketched together.
+SKETCHED = 1 << 18
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     foldwise.ship(spark)
     # rendering a text costs far more than moving it, and a small table is one partition
-    return frozen(rendered.images(_docs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")), "images")
+    return _docs(spark, sf_dir).select("doc_id", "source", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frozen(rendered.images(_documents(spark, sf_dir)), "images")
 
 
 def _image_batches(spark: SparkSession, sf_dir: str, config: DedupConfig) -> DataFrame:
@@ -715,19 +721,38 @@ def image_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = [("2df", 2, 2), ("2df", 1, 2), ("rabin", 2, 2), ("rabin", 1, 16), ("rabin", 3, 2), ("gear", 1, 2), ("gear", 3, 2)]
     configs = [DedupConfig(feature_method=m, dimension=d, block_size=b) for m, d, b in methods]
 
-    @pandas_udf("array<long>")
-    def firsts(contents: pd.Series) -> pd.Series:
-        out = []
-        for data in contents:
-            try:
-                planes = jpeg.decode(bytes(data)).planes
-            except (Damaged, IndexError, KeyError, ValueError):
-                out.append(None)
-                continue
-            out.append([sketch.exact_sketch(planes, bytes(data), c)["sf"][0] for c in configs])
-        return pd.Series(out)
+    def run(batches):
+        yield from firsts(rendered.files(batches))
+
+    def firsts(files):
+        held, paths, blocks = [], {}, 0
 
-    made = _images(spark, sf_dir).select("path", firsts("content").alias("sf"))
+        def contents():
+            for batch in files:
+                for path, content in zip(batch["path"], batch["content"], strict=True):
+                    paths[len(paths)] = path, content
+                    yield content
+
+        def found():
+            sketches = sketch.first_super_features([([plane], data) for _, plane, data in held], configs)
+            return pd.DataFrame({"path": [path for path, *_ in held], "sf": sketches})
+
+        for i, image in jpeg.decoded(contents(), planes=1):
+            path, data = paths[i]
+            paths[i] = None
+            if image is None:
+                yield pd.DataFrame({"path": [path], "sf": [None]})
+                continue
+            held.append((path, image.planes[0], data))
+            blocks += held[-1][1].size // 64
+            if blocks >= SKETCHED:
+                yield found()
+                held, blocks = [], 0
+        if held:
+            yield found()
+
+    # each file is read once, by the process that makes it
+    made = _documents(spark, sf_dir).mapInPandas(run, "path string, sf array<long>")
     return made.select("path", *[F.get("sf", i).alias(f"{m}{d}") for i, (m, d, _) in enumerate(methods)])
 
 
