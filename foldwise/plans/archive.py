@@ -151,6 +151,11 @@ def scan(spark: SparkSession, path: str, config: DedupConfig) -> DataFrame:
 
 def batched(files: DataFrame, config: DedupConfig) -> DataFrame:
     """``files`` (path, dir, length, content) with batch and seq; only names and lengths are ordered, contents are joined."""
+    return files.join(numbered(files, config), "path")
+
+
+def numbered(files: DataFrame, config: DedupConfig) -> DataFrame:
+    """path, batch, seq of ``files`` (path, dir, length)."""
     keys = files.select("path", "dir", "length")
     if config.road_num > 1:
         # a road's files are of the same number modulo the roads: files in turn, or whole directories
@@ -161,8 +166,7 @@ def batched(files: DataFrame, config: DedupConfig) -> DataFrame:
         keys = _filled(keys, config)
     # a batch is bounded by its bytes, so one task can number it
     order = Window.partitionBy("batch").orderBy("path")
-    keys = frozen(keys.select("path", "batch", F.row_number().over(order).cast("long").alias("seq")), "batches")
-    return files.join(keys, "path")
+    return frozen(keys.select("path", "batch", F.row_number().over(order).cast("long").alias("seq")), "batches")
 
 
 def _filled(keys: DataFrame, config: DedupConfig) -> DataFrame:
@@ -181,14 +185,16 @@ def sketched(files: DataFrame, config: DedupConfig) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
+            rows, all_ = [], list(batch.itertuples(index=False))
+            for i, image in jpeg.decoded(batch["content"]):
+                row = all_[i]
                 try:
-                    image = jpeg.decode(bytes(row.content))
+                    if image is None:
+                        raise Damaged("no baseline image")
                     found = (config.sketch or exact_sketch)(image.planes, bytes(row.content), config)
                     ok, size = found["windows"] > 0, sum(p.size * 2 for p in image.planes)
                     rows.append((row.path, row.batch, row.seq, row.length, True, size, image.planes[0].size * 2, *[found[c] if ok else [] for c in ("sf", "pos", "dc")]))
-                except (Damaged, IndexError, KeyError, ValueError, struct.error):
+                except jpeg.UNREADABLE:
                     rows.append((row.path, row.batch, row.seq, row.length, False, 0, 0, [], [], []))
             yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in _SKETCH.split(", ")])
 
@@ -208,21 +214,33 @@ def choose_bases(sketches: DataFrame, config: DedupConfig) -> DataFrame:
     return best.select("t.batch", F.col("t.id").alias("t"), "m.b", (-F.col("m.score")).alias("score"), "m.first_k", (1 - F.col("m.same_pos")).alias("fix_flag"))
 
 
-def compress(files: DataFrame, config: DedupConfig, seconds: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(archive, originals) of files with path, batch, seq, length and content.
+def compress(files: DataFrame, config: DedupConfig, seconds: dict[str, float] | None = None, numbers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(archive, originals) of files with path, batch, seq, length and content, or batch and seq in ``numbers`` beside them.
 
     archive: batch, path, base, method, record, matched, blocks, parts, length,
     decoded, luma; originals: batch, path, content, reason (undecodable, unmatched,
-    low delta), decoded, luma. Contents are joined only for pairs; sketches travel
-    without them. ``seconds`` gets the time of each stage.
+    low delta), decoded, luma, based (a record may have it as its base). Sketches
+    travel without contents. These are joined once, with what is to become of each
+    file, and then only those of pairs. ``seconds`` gets the time of each stage.
     """
     seconds = {} if seconds is None else seconds
-    sketches = _timed(seconds, "sketch", lambda: frozen(sketched(files, config), "sketches"))
+    def made() -> DataFrame:
+        if numbers is None:
+            return frozen(sketched(files, config), "sketches")
+        alone = sketched(files.withColumns({"batch": F.lit(0).cast("long"), "seq": F.lit(0).cast("long")}), config)
+        return frozen(frozen(alone.drop("batch", "seq"), "unnumbered").join(numbers, "path"), "sketches")
+
+    sketches = _timed(seconds, "sketch", made)
     best = _timed(seconds, "detect", lambda: frozen(choose_bases(sketches, config), "bases"))
     names = sketches.select("batch", "seq", "path", "decoded", "luma")
     pairs = best.join(names.withColumnsRenamed({"seq": "t", "path": "target"}), ["batch", "t"]).join(names.select("batch", F.col("seq").alias("b"), F.col("path").alias("base")), ["batch", "b"])
-    contents = files.select("path", "content")
-    joined = pairs.join(contents.withColumnsRenamed({"path": "target", "content": "own"}), "target").join(contents.withColumnsRenamed({"path": "base", "content": "their"}), "base")
+    pairs = frozen(pairs, "pairs")
+    targets, bases = (pairs.select(F.col(c).alias("path"), F.lit(True).alias(f"is_{c}")).distinct() for c in ("target", "base"))
+    roles = sketches.select("path", "batch", "ok", "decoded", "luma").join(targets, "path", "left").join(bases, "path", "left").na.fill(False, ["is_target", "is_base"])
+    held = _timed(seconds, "detect", lambda: frozen(files.select("path", "content").join(roles, "path"), "files"))
+    own = held.where("is_target").select(F.col("path").alias("target"), F.col("content").alias("own"))
+    their = held.where("is_base").select(F.col("path").alias("base"), F.col("content").alias("their"))
+    joined = pairs.join(own, "target").join(their, "base")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,9 +261,9 @@ def compress(files: DataFrame, config: DedupConfig, seconds: dict[str, float] |
     )
     coded = _timed(seconds, "delta", lambda: frozen(coded, "coded"))
     archive = coded.where("not low").drop("low")
-    left = files.join(archive.select("path"), "path", "left_anti").join(sketches.select("path", "ok", "decoded", "luma"), "path").join(coded.select("path", "low"), "path", "left")
+    left = held.where("not is_target").withColumn("low", F.lit(False)).unionByName(held.where("is_target").join(coded.where("low").select("path", "low"), "path"))
     reason = F.when(~F.col("ok"), "undecodable").when(F.col("low"), "low delta").otherwise("unmatched")
-    return archive, left.select("batch", "path", "content", reason.alias("reason"), "decoded", "luma")
+    return archive, left.select("batch", "path", "content", reason.alias("reason"), "decoded", "luma", F.col("is_base").alias("based"))
 
 
 def _timed(seconds: dict[str, float], stage: str, work):
@@ -280,7 +298,8 @@ def restore(archive: DataFrame, originals: DataFrame) -> DataFrame:
 
     One join a round restores all files whose bases are there, so a chain of length
     n takes n rounds; each round is frozen. Chains of byte records can be cut short
-    by :func:`composed` first.
+    by :func:`composed` first. Of originals that say so (``based``), only those that
+    may be bases are joined.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,7 +310,8 @@ def restore(archive: DataFrame, originals: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame({"path": batch["path"], "content": made})
 
-    done = fresh = frozen(originals.select("path", "content"), "restored")
+    done = originals.select("path", "content")
+    fresh = originals.where("based").select("path", "content") if "based" in originals.columns else done
     pending = frozen(archive.select("path", "base", "method", "record"), "pending")
     while not pending.isEmpty():
         ready = pending.join(fresh.withColumnRenamed("path", "base"), "base")

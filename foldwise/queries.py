@@ -637,10 +637,6 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frozen(rendered.images(_documents(spark, sf_dir)), "images")
 
 
-def _image_batches(spark: SparkSession, sf_dir: str, config: DedupConfig) -> DataFrame:
-    return frozen(archive.batched(_images(spark, sf_dir), config), "image-batches")
-
-
 def _image_id():
     return F.regexp_extract("path", r"([0-9-]+)\.jpg$", 1).cast("long")
 
@@ -650,14 +646,14 @@ def _image_facts(files: DataFrame) -> DataFrame:
 
     @pandas_udf("struct<width:int,height:int,dc_sum:long,nonzero:long,same:boolean>")
     def facts(contents: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data in contents:
+        rows = [(None, None, None, None, None)] * len(contents)
+        for i, own in jpeg.decoded(contents):
             try:
-                own = jpeg.decode(bytes(data))
-                luma = own.planes[0]
-                rows.append((8 * luma.shape[1], 8 * luma.shape[0], int(luma[:, :, 0].sum(dtype="int64")), sum(int(np.count_nonzero(p)) for p in own.planes), jpeg.encode(own) == bytes(data)))
-            except (Damaged, IndexError, KeyError, ValueError):
-                rows.append((None, None, None, None, None))
+                if own is not None:
+                    luma = own.planes[0]
+                    rows[i] = (8 * luma.shape[1], 8 * luma.shape[0], int(luma[:, :, 0].sum(dtype="int64")), sum(int(np.count_nonzero(p)) for p in own.planes), jpeg.encode(own) == bytes(contents.iloc[i]))
+            except jpeg.UNREADABLE:
+                continue
         return pd.DataFrame(rows, columns=["width", "height", "dc_sum", "nonzero", "same"])
 
     return files.select(_image_id().alias("doc_id"), facts("content").alias("f")).select("doc_id", "f.*")
@@ -697,8 +693,9 @@ def image_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _image_archive(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     config = DedupConfig(chunking="f", patch_size=IMAGE_BATCH, **options)
-    files = _image_batches(spark, sf_dir, config)
-    return files, *archive.compress(files, config)
+    files = _images(spark, sf_dir)
+    numbers = archive.numbered(files, config)
+    return files.select("path", "length").join(numbers, "path"), *archive.compress(files, config, numbers=numbers)
 
 
 @query(f"WITH {_FACTS} SELECT doc_id, width, height, dc_sum, nonzero, CASE WHEN width IS NOT NULL THEN true END AS same FROM documents LEFT JOIN facts ON id = doc_id")

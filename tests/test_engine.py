@@ -4,6 +4,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from foldwise import queries
 from foldwise.config import DedupConfig
 from foldwise.functions import jpeg
@@ -142,6 +144,25 @@ def test_archive_round_trip(spark, photos, config, tmp_path):
         assert archive.mismatches(archive.restore(short, originals), files).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.0, 0.97])
+def test_numbers_beside_files_and_bases_alone(spark, photos, least):
+    config = DedupConfig(least_matched=least)
+    scanned = archive.scan(spark, str(photos), config)
+    files = scanned.drop("batch", "seq")
+    packed, originals = archive.compress(files, config, numbers=archive.numbered(files, config))
+    also, others = archive.compress(scanned, config)
+    rows = lambda t, *c: sorted(map(tuple, t.select(*c).collect()))
+    assert rows(packed, "batch", "path", "base", "record") == rows(also, "batch", "path", "base", "record")
+    assert rows(originals, "batch", "path", "reason", "based") == rows(others, "batch", "path", "reason", "based")
+    assert packed.count() + originals.count() == files.count()
+    assert ("low delta" in {r["reason"] for r in originals.collect()}) == (least > 0)
+    # only originals that say so are read for their records
+    assert 0 < originals.where("based").count() < originals.count()
+    assert archive.mismatches(archive.restore(packed, originals), files).count() == 0
+    with pytest.raises(Damaged):
+        archive.restore(packed, originals.withColumn("based", F.lit(False)))
+
+
 def test_roads_fill_batches_of_their_own(spark):
     rows = spark.createDataFrame([(f"{d}/{i}", f"{d}", 10, b"") for d in range(6) for i in range(4)], "path string, dir string, length long, content binary")
     for chaos in (False, True):
