@@ -285,3 +285,21 @@ def test_many_texts_are_rendered_read_and_sketched_in_a_moment():
         sketch.first_super_features([(image.planes, files[i]) for i, image in jpeg.decoded(files)], configs)
         times.append(time.process_time() - began)
     assert min(times) < 1.2
+
+
+def test_matching_looks_at_every_block_of_the_base_once():
+    rng = random.Random(9)
+    data = np.frombuffer(rng.randbytes(1000), np.uint8)
+    for n, step in ((16, 16), (4, 1), (16, 7), (1000, 16), (1001, 16)):
+        # all places were hashed, and one in sixteen was kept
+        assert (vcdiff._rolling(data, n, step) == vcdiff._rolling(data, n)[::step]).all()
+    for i, j, most in ((0, 0, 0), (3, 40, 1), (0, 7, 63), (5, 5, 64), (1, 2, 300), (9, 700, 3000)):
+        same = rng.randbytes(most)
+        assert vcdiff._common(bytes(i) + same + b"a" + bytes(most), i, bytes(j) + same + b"b", j) == most
+        assert vcdiff._common(bytes(i) + same, i, bytes(j) + same, j) == most
+    # runs of zeros, as the coefficients of images have, with something between
+    base = b"".join(bytes(rng.randrange(200)) + rng.randbytes(rng.randrange(30)) for _ in range(300))
+    for _ in range(20):
+        at = rng.randrange(len(base))
+        target = base[at:] + bytes(rng.randrange(100)) + base[: at // 2] + rng.randbytes(9)
+        assert vcdiff.decode(base, vcdiff.encode(base, target)) == target
